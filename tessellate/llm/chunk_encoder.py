@@ -1,8 +1,8 @@
 """Text to token ids with the `tokenizers` library, memoised by space-delimited chunk.
 
-A space that follows or precedes a visible character is always a pre-token boundary, so a text's ids
-are the concatenation of its chunks' ids. Chunks that are empty or begin with white space could join
-the white space before them; a text that has one is encoded whole. The memo is emptied when it
+A space or line end that follows or precedes a visible character is always a pre-token boundary, so a
+text's ids are the concatenation of its chunks' ids. Chunks that are empty or begin with white space
+could join the white space before them; a text that has one is encoded whole. The memo is emptied when it
 reaches its limit, so memory is bounded whatever the corpus; results never depend on it.
 """
 
@@ -32,19 +32,28 @@ class ChunkEncoder:
         return out
 
     def _learn(self, chunks: list[str]) -> None:
-        if self.sticks:
-            known = [c for c in chunks if c and not c[0].isspace() and c[0] not in JOINING]
-            self.memo.update(dict.fromkeys(chunks))
-            self.memo.update(zip(known, self._ids([" " + c for c in known])))
-        else:
-            self.memo.update(zip(chunks, self._ids(chunks)))
+        """Adds chunks to the memo; a word before a final stop or comma is one of its own pre-tokens."""
+        memo, plain, ended = self.memo, [], []
+        for c in chunks:
+            if self.sticks and (not c or c[0] != "\n" and (c[0].isspace() or c[0] in JOINING) or c[0] == "\n" and (len(c) == 1 or c[1].isspace() or c[1] in JOINING)):
+                memo[c] = None
+            elif len(c) > 2 and c[-1] in ".," and c[-2].isalpha():
+                ended.append(c)
+            else:
+                plain.append(c)
+        plain += {c[:-1] for c in ended}.difference(memo, plain)
+        memo.update(zip(plain, self._ids([c if c[:1] == "\n" else " " + c for c in plain] if self.sticks else plain)))
+        stops = dict(zip(".,", self._ids([".", ","])))
+        for c in ended:
+            memo[c] = memo[c[:-1]] + stops[c[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []
+        line = " \n" if self.sticks else " "
         for k in range(0, len(texts), 256):
             part = texts[k : k + 256]
-            rows = [t.split(" ") for t in part]
+            rows = [t.replace("\n", line).split(" ") for t in part]
             if len(self.memo) > self.limit:
                 self.memo.clear()
             if len(self.heads) > self.limit:
