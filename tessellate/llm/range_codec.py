@@ -17,7 +17,7 @@ import zlib
 import numpy as np
 
 SCALE, TOTAL, CONTEXTS = 18, 24, 1 << 13
-LANES, BLOCK = 768, 4096
+LANES, BLOCK = 512, 4096
 GROUP = LANES * BLOCK
 REFRESH = (256, 1024)
 TOP, LOW32, M48 = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64((1 << 48) - 1)
