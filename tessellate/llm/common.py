@@ -39,7 +39,7 @@ def open_output(uri: str):
 
     filesystem, path = fs.FileSystem.from_uri(uri)
     filesystem.create_dir(os.path.dirname(path), recursive=True)
-    return filesystem.open_output_stream(path)
+    return filesystem.open_output_stream(path, compression=None)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -1,7 +1,7 @@
 """All registered queries of the subpackage and their oracle SQL."""
 
-from . import packing, quality_rules, token_files
+from . import packing, quality_rules, token_files, top_k, warc
 
-MODULES = [quality_rules, packing, token_files]
+MODULES = [quality_rules, packing, token_files, warc, top_k]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
