@@ -2,76 +2,95 @@
 
 A space or line end that follows or precedes a visible character is always a pre-token boundary, so a
 text's ids are the concatenation of its chunks' ids. Chunks that are empty or begin with white space
-could join the white space before them; a text that has one is encoded whole. The memo is emptied when it
-reaches its limit, so memory is bounded whatever the corpus; results never depend on it.
+could join the white space before them; a text that has one is encoded whole. A chunk that is one word
+of Latin-1 letters goes straight to the library's BPE model, a word with punctuation behind it is the
+word's ids and the punctuation's, and every other chunk is encoded by the whole tokenizer. A memo is
+emptied when it reaches its limit, so memory is bounded whatever the corpus; results never depend on it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 JOINING = "᠎​﻿"
+#: a word and punctuation behind it (no apostrophe, which can begin a pre-token of its own)
+PUNCTUATED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The library's stand-in character for each byte that is not printable Latin-1."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+LETTERS = _byte_letters()
+
+
+class Memo(dict):
+    def __init__(self, compute):
+        self.compute = compute
+
+    def __missing__(self, chunk: str):
+        value = self[chunk] = self.compute(chunk)
+        return value
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, space_sticks: bool, limit: int = 500_000):
+    def __init__(self, path: str, space_sticks: bool, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.folds = self.tokenizer.normalizer is not None  # the normalizer lower-cases
         self.sticks, self.limit = space_sticks, limit
-        self.memo: dict[str, bytes | None] = {}
-        self.heads: dict[str, bytes] = {}
+        self.memo, self.heads, self.marks = Memo(self._chunk), Memo(self._head), Memo(self._whole)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(texts), 8192):
-            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + 8192], add_special_tokens=False)]
-        return out
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str, space: bool) -> bytes:
+        if self.folds:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(LETTERS)
+        return array("I", [t.id for t in self.model.tokenize("Ġ" + word if space else word)]).tobytes()
+
+    def _of(self, chunk: str, space: bool, memo: Memo) -> bytes:
+        if chunk.isalpha() and (chunk.isascii() or max(chunk) < "Ā"):
+            return self._word(chunk, space)
+        if parts := PUNCTUATED.fullmatch(chunk):
+            return memo[parts[1]] + self.marks[parts[2]]
+        return self._whole(" " + chunk if space else chunk)
+
+    def _head(self, chunk: str) -> bytes:
+        return self._of(chunk, False, self.heads)
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Adds chunks to the memo; a word before a final stop or comma is one of its own pre-tokens."""
-        memo, plain, ended = self.memo, [], []
-        for c in chunks:
-            if self.sticks and (not c or c[0] != "\n" and (c[0].isspace() or c[0] in JOINING) or c[0] == "\n" and (len(c) == 1 or c[1].isspace() or c[1] in JOINING)):
-                memo[c] = None
-            elif len(c) > 2 and c[-1] in ".," and c[-2].isalpha():
-                ended.append(c)
-            else:
-                plain.append(c)
-        plain += {c[:-1] for c in ended}.difference(memo, plain)
-        memo.update(zip(plain, self._ids([c if c[:1] == "\n" else " " + c for c in plain] if self.sticks else plain)))
-        stops = dict(zip(".,", self._ids([".", ","])))
-        for c in ended:
-            memo[c] = memo[c[:-1]] + stops[c[-1]]
+    def _chunk(self, chunk: str) -> bytes | None:
+        if not self.sticks:
+            return self._of(chunk, False, self.memo) if chunk else b""
+        line = chunk[:1] == "\n"
+        first = chunk[line : line + 1]
+        if not first or first.isspace() or first in JOINING:
+            return None
+        return self.marks["\n"] + self.heads[chunk[1:]] if line else self._of(chunk, True, self.memo)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        for memo in (self.memo, self.heads, self.marks):
+            if len(memo) > self.limit:
+                memo.clear()
         out: list[bytes] = []
-        line = " \n" if self.sticks else " "
-        for k in range(0, len(texts), 256):
-            part = texts[k : k + 256]
-            rows = [t.replace("\n", line).split(" ") for t in part]
-            if len(self.memo) > self.limit:
-                self.memo.clear()
-            if len(self.heads) > self.limit:
-                self.heads.clear()
-            if self.sticks:
-                heads = [r.pop(0) for r in rows]
-                if new := list({h for h in heads if h not in self.heads}):
-                    self.heads.update(zip(new, self._ids(new)))
-            if new := list(set().union(*rows).difference(self.memo)):
-                self._learn(new)
-            get = self.memo.__getitem__
-            for i, r in enumerate(rows):
-                try:
-                    body = b"".join(map(get, r))
-                except TypeError:
-                    out += self._ids([part[i]])
-                    continue
-                out.append(self.heads[heads[i]] + body if self.sticks else body)
+        get, line = self.memo.__getitem__, " \n" if self.sticks else " "
+        for text in texts:
+            chunks = text.replace("\n", line).split(" ")
+            try:
+                out.append(self.heads[chunks.pop(0)] + b"".join(map(get, chunks)) if self.sticks else b"".join(map(get, chunks)))
+            except TypeError:
+                out.append(self._whole(text))
         return out
 
 

@@ -4,7 +4,7 @@ Ids are cut into blocks that are coded independently (each resets its model and
 its ids). Within a block the next id's distribution is a mixture of three predictions: the id that last
 followed the same two ids (order 2), the id that last followed the same id (order 1), and the block's
 own id frequencies (order 0). The weights come from the hits that the predictions have had so far in
-the same situation. The mixture drives a 48-bit range coder. Blocks of a group are coded side by side
+the same situation, and are renewed every WINDOW ids. The mixture drives a 48-bit range coder. Blocks of a group are coded side by side
 as numpy lanes, so each step serves all of them. A block lists its distinct ids once and codes their
 places in that list, which keeps a lane's tables small enough for the CPU's caches.
 """
@@ -16,21 +16,18 @@ import zlib
 
 import numpy as np
 
-SCALE, TOTAL, CONTEXTS = 18, 24, 1 << 13
-LANES, BLOCK = 512, 4096
+SCALE, TOTAL, CONTEXT_BITS, WINDOW = 18, 24, 12, 16
+LANES, BLOCK = 1536, 2048
 GROUP = LANES * BLOCK
-REFRESH = (256, 1024)
+REFRESH = (128, 512)
 TOP, LOW32, M48 = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64((1 << 48) - 1)
 HEADER = struct.Struct("<4sIIIII")
-
-
-def _context(prev2: np.ndarray, prev1: np.ndarray) -> np.ndarray:
-    return (((prev2.astype(np.uint32) * np.uint32(2654435761)) ^ (prev1.astype(np.uint32) * np.uint32(2246822519))) >> np.uint32(19)).astype(np.int64)
+K1, K2, DOWN = np.uint32(2654435761), np.uint32(2246822519), np.uint32(32 - CONTEXT_BITS)
 
 
 def _frequencies(counts: np.ndarray | None, seen: int, sizes: np.ndarray) -> np.ndarray:
     """Cumulative order-0 frequencies of each lane's alphabet, each lane's shifted by its number << SCALE."""
-    lanes, width = len(sizes), int(sizes.max()) + 1
+    lanes, width = len(sizes), int(sizes.max()) + 2
     out = np.zeros((lanes, width), np.int32)
     each = (1 << SCALE) // np.maximum(sizes, 1)
     if seen:
@@ -44,37 +41,34 @@ def _frequencies(counts: np.ndarray | None, seen: int, sizes: np.ndarray) -> np.
     return out.reshape(-1)
 
 
-def _last_after(context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each place of each row, the id at the last earlier place with the same context, or -1."""
+def _last_after(context: np.ndarray, ids: np.ndarray, none: int) -> np.ndarray:
+    """For each place of each row, the id at the last earlier place with the same context, or none."""
     order = np.argsort(context.astype(np.uint16), axis=1, kind="stable")
     c, x = np.take_along_axis(context, order, 1), np.take_along_axis(ids, order, 1)
-    found = np.full(ids.shape, -1, np.int32)
-    found[:, 1:] = np.where(c[:, 1:] == c[:, :-1], x[:, :-1], -1)
+    found = np.full(ids.shape, none, np.int32)
+    found[:, 1:] = np.where(c[:, 1:] == c[:, :-1], x[:, :-1], none)
     out = np.empty_like(found)
     np.put_along_axis(out, order, found, 1)
     return out
 
 
-def _state(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
-    """0: no prediction, 1: order 1 only, 2: order 2 only, 3: they differ, 4: they agree."""
-    return (p1 >= 0) + 2 * (p2 >= 0) + ((p1 == p2) & (p1 >= 0))
-
-
-def _weights(state, n, k1, k2):
-    """Sixty-fourths of the range that go to order 1 and order 2; order 0 keeps at least two."""
-    low = 2 * n + 4
-    a2 = np.where(state >= 2, (62 * (2 * k2 + 1)) // low, 0)
-    a1 = np.where((state == 1) | (state == 3), (62 * (2 * k1 + 1)) // low, 0)
+def _weights(tally: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sixty-fourths of the range for order 1 and order 2, by situation (last axis): order 1 alone, none, they differ, they agree."""
+    n, k1, k2 = tally & 0xFFFF, (tally >> 16) & 0xFFFF, tally >> 32
+    a1 = (62 * (2 * k1 + 1) // (2 * n + 4)).astype(np.int32)
+    a2 = (62 * (2 * k2 + 1) // (2 * n + 4)).astype(np.int32)
+    a1[..., 1] = a1[..., 3] = 0
+    a2[..., 0] = a2[..., 1] = 0
     return a1, a2
 
 
 def encode_group(ids: np.ndarray) -> bytes:
     """Up to GROUP ids to one self-contained group."""
     n = len(ids)
-    block = min(BLOCK, max(256, -(-n // LANES)))
+    block = min(BLOCK, -(-max(256, -(-n // LANES)) // WINDOW) * WINDOW)
     lanes = -(-n // block)
     if not n:
-        return HEADER.pack(b"IDG1", 0, block, 0, 0, 0)
+        return HEADER.pack(b"IDG2", 0, block, 0, 0, 0)
     x = np.zeros(lanes * block, np.int32)
     listed, sizes = [], np.zeros(lanes, np.int64)
     flags = np.zeros(int(ids.max()) + 1, bool)
@@ -89,74 +83,87 @@ def encode_group(ids: np.ndarray) -> bytes:
         listed.append(np.diff(known, prepend=0).astype("<u4").tobytes())
         sizes[k] = len(known)
     names = zlib.compress(b"".join(listed), 1)
-    vocab = int(sizes.max())
+    none = int(sizes.max())
+    width = none + 2
     x = x.reshape(lanes, block)
-    prev1 = np.full_like(x, vocab)
+    prev1 = np.full_like(x, none)
     prev1[:, 1:] = x[:, :-1]
-    prev2 = np.full_like(x, vocab)
+    prev2 = np.full_like(x, none)
     prev2[:, 2:] = x[:, :-2]
-    p1, p2 = _last_after(prev1, x), _last_after(_context(prev2, prev1), x)
+    p1 = _last_after(prev1, x, none)
+    p2 = _last_after(((prev2.astype(np.uint32) * K1) ^ (prev1.astype(np.uint32) * K2)) >> DOWN, x, none)
     del prev1, prev2
-    state = _state(p1, p2).astype(np.int8)
+    state = (2 * (p2 < none) + (p1 == p2)).astype(np.int8)
     hit1, hit2 = p1 == x, p2 == x
-    a1, a2 = np.zeros_like(x), np.zeros_like(x)
-    seen = 1 + (hit1.astype(np.int64) << 16) + (hit2.astype(np.int64) << 32)
-    for s in (1, 2, 3, 4):
-        mine = np.where(state == s, seen, 0)
-        at = np.flatnonzero(mine)
-        before = (np.cumsum(mine, axis=1) - mine).reshape(-1)[at]
-        a1.reshape(-1)[at], a2.reshape(-1)[at] = _weights(s, before & 0xFFFF, (before >> 16) & 0xFFFF, before >> 32)
+    gained = 1 + (hit1.astype(np.int64) << 16) + (hit2.astype(np.int64) << 32)
+    windows = block // WINDOW
+    tally = np.zeros((lanes, windows, 4), np.int64)
+    for s in range(4):
+        sums = np.where(state == s, gained, 0).reshape(lanes, windows, WINDOW).sum(2)
+        tally[:, 1:, s] = np.cumsum(sums, axis=1)[:, :-1]
+    del gained
+    cell = (np.arange(lanes * windows, dtype=np.int32) * 4).repeat(WINDOW).reshape(lanes, block) + state
+    a1, a2 = (w.reshape(-1).take(cell) for w in _weights(tally))
+    del cell, tally, state
     a0 = 64 - a1 - a2
     cum = ((p1 < x) * a1 + (p2 < x) * a2) << SCALE
     freq = (hit1 * a1 + hit2 * a2) << SCALE
+    del p1, p2, hit1, hit2, a1, a2
     edges = [0, *[r for r in REFRESH if r < block], block]
-    row = (np.arange(lanes, dtype=np.int64) * (vocab + 1))[:, None]
-    counts = np.zeros(lanes * (vocab + 1), np.int64)
+    row, shift = (np.arange(lanes, dtype=np.int64) * width)[:, None], (np.arange(lanes, dtype=np.int32) << SCALE)[:, None]
+    counts = np.zeros(lanes * width, np.int64)
     for lo, hi in zip(edges, edges[1:]):
         f0 = _frequencies(counts, lo, sizes)
-        part = x[:, lo:hi]
-        at = f0[row + part]
-        cum[:, lo:hi] += a0[:, lo:hi] * (at - (np.arange(lanes, dtype=np.int32) << SCALE)[:, None])
-        freq[:, lo:hi] += a0[:, lo:hi] * (f0[row + part + 1] - at)
+        part = row + x[:, lo:hi]
+        at = f0.take(part)
+        cum[:, lo:hi] += a0[:, lo:hi] * (at - shift)
+        freq[:, lo:hi] += a0[:, lo:hi] * (f0.take(part + 1) - at)
         if hi < block:
-            counts += np.bincount((row + part).reshape(-1), minlength=lanes * (vocab + 1))
-    del p1, p2, hit1, hit2, a0, a1, a2, state
-    cum, freq = np.ascontiguousarray(cum.T).astype(np.uint64), np.ascontiguousarray(freq.T).astype(np.uint64)
+            counts += np.bincount(part.reshape(-1), minlength=lanes * width)
+    cum, freq = np.ascontiguousarray(cum.T), np.ascontiguousarray(freq.T)
     short = n - (lanes - 1) * block
-    out = np.zeros((lanes, block * 2 + 8), np.uint32)
-    low, rng, pos = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64), np.zeros(lanes, np.int64)
+    room = block * 2 + 8
+    out = np.zeros(lanes * room, np.uint32)
+    low, rng, pos = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64), np.arange(lanes) * room
     for t in range(block):
-        act = lanes if t < short else lanes - 1
-        lo_, rg = low[:act], rng[:act]
-        r = rg >> np.uint64(TOTAL)
-        lo_ += r * cum[t, :act]
-        rg[:] = r * freq[t, :act]
-        if (over := lo_ > M48).any():
-            k = np.nonzero(over)[0]
-            out[k, pos[k] - 1] += 1
-            lo_ &= M48
-        while len(k := np.nonzero(rg < TOP)[0]):
-            out[k, pos[k]] = low[k] >> np.uint64(32)
-            pos[k] += 1
-            low[k] = (low[k] & LOW32) << np.uint64(16)
+        if t == short:
+            low_all, rng_all, pos_all = low, rng, pos
+            low, rng, pos = low[:-1], rng[:-1], pos[:-1]
+            if not len(low):
+                low, rng, pos = low_all, rng_all, pos_all
+                break
+        r = rng >> np.uint64(TOTAL)
+        low += r * cum[t, : len(low)].astype(np.uint64)
+        np.multiply(r, freq[t, : len(low)].astype(np.uint64), out=rng)
+        if low.max() > M48:
+            k = np.flatnonzero(low > M48)
+            out[pos[k] - 1] += 1
+            low &= M48
+        while len(k := np.flatnonzero(rng < TOP)):
+            part, at = low[k], pos[k]
+            out[at] = part >> np.uint64(32)
+            pos[k] = at + 1
+            low[k] = (part & LOW32) << np.uint64(16)
             rng[k] <<= np.uint64(16)
-    every = np.arange(lanes)
-    for shift in (32, 16, 0):
-        out[every, pos] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
+    if short < block and lanes > 1:
+        low, pos = low_all, pos_all
+    for down in (32, 16, 0):
+        out[pos] = (low >> np.uint64(down)) & np.uint64(0xFFFF)
         pos += 1
+    out, pos = out.reshape(lanes, room), pos - np.arange(lanes) * room
     while (carry := out >> 16).any():
         out &= 0xFFFF
         out[:, :-1] += carry[:, 1:]
     words = out.astype("<u2")
     table = np.array([[zlib.crc32(np.ascontiguousarray(ids[k * block : (k + 1) * block], "<u4")), pos[k], sizes[k]] for k in range(lanes)], "<u4")
     body = b"".join(words[k, : pos[k]].tobytes() for k in range(lanes))
-    return HEADER.pack(b"IDG1", n, block, lanes, len(names), len(body)) + table.tobytes() + names + body
+    return HEADER.pack(b"IDG2", n, block, lanes, len(names), len(body)) + table.tobytes() + names + body
 
 
 def decode_group(buf: memoryview, at: int = 0) -> tuple[np.ndarray, int]:
     """The ids of the group at a place, and the place after it. Raises ValueError for a damaged block."""
     magic, n, block, lanes, named, size = HEADER.unpack_from(buf, at)
-    if magic != b"IDG1":
+    if magic != b"IDG2":
         raise ValueError("not a group of coded ids")
     at += HEADER.size
     if not n:
@@ -167,7 +174,8 @@ def decode_group(buf: memoryview, at: int = 0) -> tuple[np.ndarray, int]:
     words = np.frombuffer(buf, "<u2", size // 2, at + named)
     end = at + named + size
     sizes = table[:, 2].astype(np.int64)
-    vocab = int(sizes.max())
+    none = int(sizes.max())
+    width = none + 2
     starts = np.concatenate([[0], np.cumsum(table[:, 1].astype(np.int64))])
     if starts[-1] != len(words):
         raise ValueError("a group's length is wrong")
@@ -178,68 +186,75 @@ def decode_group(buf: memoryview, at: int = 0) -> tuple[np.ndarray, int]:
         code = (code << np.uint64(16)) | words[pos]
         pos += 1
     rng = np.full(lanes, 1 << 48, np.uint64)
-    width = vocab + 1
-    every = np.arange(lanes)
-    row, shift = every * width, every.astype(np.int32) << SCALE
-    after1, after2 = np.full(lanes * width, -1, np.int32), np.full(lanes * CONTEXTS, -1, np.int32)
-    tally = np.zeros(lanes * 5, np.int64)
-    x = np.zeros((block, lanes), np.int32)
-    prev1, prev2 = np.full(lanes, vocab, np.int32), np.full(lanes, vocab, np.int32)
+    every = np.arange(lanes, dtype=np.int64)
+    row, shift, slot, cells = every * width, every.astype(np.int32) << SCALE, every << CONTEXT_BITS, every * 4
+    after1, after2 = np.full(lanes * width, none, np.int32), np.full(lanes << CONTEXT_BITS, none, np.int32)
+    tally = np.zeros(lanes * 4, np.int64)
+    x = np.full((block, lanes), none, np.int32)
+    prev = np.full(lanes, none, np.int32)
+    older = prev.astype(np.uint32) * K1
     short = n - (lanes - 1) * block
     f0 = _frequencies(None, 0, sizes)
     counts, since = np.zeros(lanes * width, np.int64), 0
-    act, most = lanes, np.uint64((1 << TOTAL) - 1)
+    most, sixteen = np.uint64((1 << TOTAL) - 1), np.uint64(16)
     for t in range(block):
         if t in REFRESH:
             counts += np.bincount((np.arange(lanes) * width + x[since:t]).reshape(-1), minlength=lanes * width)
             f0, since = _frequencies(counts, t, sizes), t
+        if t % WINDOW == 0:
+            a1s, a2s = (w.reshape(-1) for w in _weights(tally.reshape(lanes, 4)))
         if t == short:
-            act = lanes - 1
-            row, shift, every = row[:act], shift[:act], every[:act]
-            prev1, prev2, code, rng, pos = prev1[:act], prev2[:act], code[:act], rng[:act], pos[:act]
-            if not act:
+            if lanes == 1:
                 break
-        i1, i2 = row + prev1, every * CONTEXTS + _context(prev2, prev1)
+            row, shift, slot, cells = row[:-1], shift[:-1], slot[:-1], cells[:-1]
+            prev, older, code, rng, pos = prev[:-1], older[:-1], code[:-1], rng[:-1].copy(), pos[:-1].copy()
+        i1 = row + prev
+        here = prev.astype(np.uint32)
+        i2 = slot + ((older ^ (here * K2)) >> DOWN)
+        older = here * K1
         p1, p2 = after1.take(i1), after2.take(i2)
-        state = _state(p1, p2)
-        cell = every * 5 + state
-        old = tally.take(cell)
-        a1, a2 = _weights(state, (old & 0xFFFF).astype(np.int32), ((old >> 16) & 0xFFFF).astype(np.int32), (old >> 32).astype(np.int32))
+        cell = cells + (p2 < none) * 2 + (p1 == p2)
+        a1, a2 = a1s.take(cell), a2s.take(cell)
         a0 = 64 - a1 - a2
         w1, w2 = a1 << SCALE, a2 << SCALE
         r = rng >> np.uint64(TOTAL)
         v = np.minimum(code // r, most).astype(np.int32)
-        j1, j2 = row + np.maximum(p1, 0), row + np.maximum(p2, 0)
+        j1, j2 = row + p1, row + p2
         f1, f2 = f0.take(j1), f0.take(j2)
-        low1 = a0 * (f1 - shift) + w2 * (p2 < p1)
-        high1 = low1 + a0 * (f0.take(j1 + 1) - f1) + w1
-        low2 = a0 * (f2 - shift) + w1 * (p1 < p2)
-        high2 = low2 + a0 * (f0.take(j2 + 1) - f2) + w2
-        up1, up2 = v >= high1, v >= high2
-        is1, is2 = (w1 > 0) & (v >= low1) & ~up1, (w2 > 0) & (v >= low2) & ~up2
-        got = np.where(is2, p2, p1)
-        if len(k := np.nonzero(~(is1 | is2))[0]):
-            u = (v[k] - w1[k] * up1[k] - w2[k] * up2[k]) // a0[k]
-            got[k] = np.searchsorted(f0, u + shift[k], "right") - 1 - row[k]
-        jx = row + got
-        fx = f0.take(jx)
-        hit1, hit2 = p1 == got, p2 == got
-        cum = a0 * (fx - shift) + w1 * (p1 < got) + w2 * (p2 < got)
+        low1, low2 = a0 * (f1 - shift) + w2 * (p2 < p1), a0 * (f2 - shift) + w1 * (p1 < p2)
+        size1, size2 = a0 * (f0.take(j1 + 1) - f1) + w1, a0 * (f0.take(j2 + 1) - f2) + w2
+        up1, up2 = v >= low1 + size1, v >= low2 + size2
+        is2 = (v >= low2) > up2
+        got, cum, freq = np.where(is2, p2, p1), np.where(is2, low2, low1), np.where(is2, size2, size1)
+        k = np.flatnonzero(~(is2 | ((v >= low1) > up1)))
+        if len(k):
+            off, base, mix = shift[k], row[k], a0[k]
+            ahead = w1[k] * up1[k] + w2[k] * up2[k]
+            u = (v[k] - ahead) // mix + off
+            at_ = np.searchsorted(f0, u, "right") - 1
+            fx = f0.take(at_)
+            got[k] = at_ - base
+            cum[k] = mix * (fx - off) + ahead
+            freq[k] = mix * (f0.take(at_ + 1) - fx)
         code -= r * cum.astype(np.uint64)
-        rng[:] = r * (a0 * (f0.take(jx + 1) - fx) + w1 * hit1 + w2 * hit2).astype(np.uint64)
-        while len(k := np.nonzero(rng < TOP)[0]):
+        rng = r * freq.astype(np.uint64)
+        thin = rng < TOP
+        code = np.where(thin, (code << sixteen) | words.take(pos), code)
+        rng <<= thin * sixteen
+        pos += thin
+        while len(k := np.flatnonzero(rng < TOP)):
             q = pos[k]
-            code[k] = (code[k] << np.uint64(16)) | words[q]
+            code[k] = (code[k] << sixteen) | words[q]
             pos[k] = q + 1
-            rng[k] <<= np.uint64(16)
+            rng[k] <<= sixteen
         after1[i1] = got
         after2[i2] = got
-        tally[cell] = old + 1 + (hit1.astype(np.int64) << 16) + (hit2.astype(np.int64) << 32)
-        x[t, :act] = got
-        prev2, prev1 = prev1, got
+        tally[cell] += 1 + ((p1 == got) * 65536) + ((p2 == got) * 4294967296)
+        x[t, : len(got)] = got
+        prev = got
     first = np.concatenate([[0], np.cumsum(sizes)])
     known = [np.cumsum(names[first[k] : first[k + 1]].astype(np.int64)).astype("<u4") for k in range(lanes)]
-    ids = np.concatenate([known[k][x[: block if k < lanes - 1 else short, k]] for k in range(lanes)])
+    ids = np.concatenate([known[k].take(x[: block if k < lanes - 1 else short, k], mode="clip") for k in range(lanes)])
     for k in range(lanes):
         if zlib.crc32(ids[k * block : (k + 1) * block]) != table[k, 0]:
             raise ValueError(f"block {k} fails its checksum")

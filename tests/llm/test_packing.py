@@ -18,6 +18,7 @@ def test_chunk_encoder_equals_the_library():
         tok.encode_special_tokens = True
         rng = random.Random(5)
         texts = TEXTS + ["".join(rng.choice(" \n\tab'sé1.,") for _ in range(40)) for _ in range(600)]
+        texts += ["".join(rng.choice("  \nabcTHE'sëßÅÇÿªµ!&&_-%\u0301Σ中1") for _ in range(40)) for _ in range(1500)]
         got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
         assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
