@@ -1,7 +1,7 @@
 """All registered queries of the subpackage and their oracle SQL."""
 
-from . import language_id, packing, quality_rules, token_files, top_k, toxicity, warc
+from . import language_id, near_dedup, packing, quality_rules, token_files, top_k, toxicity, warc
 
-MODULES = [quality_rules, packing, token_files, warc, top_k, toxicity, language_id]
+MODULES = [token_files, near_dedup, quality_rules, warc, toxicity, packing, top_k, language_id]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
