@@ -87,7 +87,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     for i in range(m):
         if not len(elem):
             break
-        u = (mix(elem ^ (ODD[2] * np.uint64(i + 1))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        u = (mix(elem ^ np.uint64(int(ODD[2]) * (i + 1) & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
         when = when - np.log1p(-u) * (m / (m - i)) / weight
         at = doc * m + ((place + stride * np.uint64(i)) % np.uint64(m)).astype(np.int64)
         np.minimum.at(reg, at, (when.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | low)

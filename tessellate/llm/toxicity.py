@@ -137,19 +137,20 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
     return train([np.frombuffer(r["bag"], "<u4") for r in rows], np.array([int(r["toxic"] > 0) for r in rows], int))
 
 
-def score(docs: DataFrame, model: Model, keep: str = "doc_id long, held_out boolean") -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: str = "doc_id long, held_out boolean", with_text: bool = False) -> DataFrame:
     """The named columns of docs and their texts' score and predicted class; `keep` gives names and types."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [x.split()[0] for x in keep.split(", ")]
+    told = [*names, *(["text"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
                 s = shared.value.score([t or "" for t in part.column(len(names)).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(told)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*told, "score", "predicted"])
 
-    return docs.select(*names, "text").mapInArrow(run, f"{keep}, score double, predicted int")
+    return docs.select(*names, "text").mapInArrow(run, f"{keep}, {'text string, ' if with_text else ''}score double, predicted int")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
