@@ -132,7 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
                 found, starts = grams([t or "" for t in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([found[a:z].astype("<u4").tobytes() for a, z in zip(starts, starts[1:])])], ["toxic", "bag"])
 
-    chosen = docs.select("doc_id", "text").join(marks.where(take), "doc_id").select("text", "toxic")
+    # at most 2 * limit labels of two numbers: small enough to broadcast, so texts are not shuffled
+    few = F.broadcast(marks.where(take).limit(2 * limit))
+    chosen = docs.select("doc_id", "text").join(few, "doc_id").select("text", "toxic")
     rows = chosen.mapInArrow(run, "toxic int, bag binary").limit(2 * limit).collect()
     return train([np.frombuffer(r["bag"], "<u4") for r in rows], np.array([int(r["toxic"] > 0) for r in rows], int))
 
