@@ -1,7 +1,7 @@
 """Every registered query with its oracle SQL, gathered from the plan modules."""
 
-from . import scalars, search
+from . import catalog, scalars, search
 
-MODULES = [search, scalars]
+MODULES = [search, catalog, scalars]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
