@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.places import global_places
 from .search import contains_ci, table
 
 
@@ -72,22 +73,20 @@ def f11_haystack(spark: SparkSession, sf_dir: str) -> DataFrame:
     month, year = F.month("o_orderdate"), F.year("o_orderdate")
     hay = F.concat_ws(" ", "o_orderpriority", "o_orderkey", month, year, F.concat(month, F.lit("/"), year))
     rows = o.where((F.col("o_orderstatus") == "F") & contains_ci(hay, "7 1997 7/1997")).withColumn("month", month)
-    order = Window.orderBy("month", "o_totalprice", "o_orderkey")
-    return rows.select("o_orderkey", "month", F.row_number().over(order).alias("place"))
+    return global_places(rows.select("o_orderkey", "month", "o_totalprice"), F.col("month"), F.col("o_totalprice"), F.col("o_orderkey")).drop("o_totalprice")
 
 
 def o2_null_last_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descending by a key with nulls last, ties by year (newest first, nulls last) and code; the place is a column."""
     c = table(spark, sf_dir, "customer").withColumn("budget", F.when(F.col("c_custkey") % 5 != 0, F.floor("c_acctbal").cast("long"))).withColumn("yr", F.when(F.col("c_custkey") % 7 != 0, (F.col("c_custkey") % 11).cast("int")))
-    order = Window.orderBy(F.col("budget").isNull(), F.desc("budget"), F.desc_nulls_last("yr"), "c_custkey")
-    return c.select("c_custkey", "budget", "yr", F.row_number().over(order).alias("place"))
+    return global_places(c.select("c_custkey", "budget", "yr"), F.col("budget").isNull(), F.desc("budget"), F.desc_nulls_last("yr"), F.col("c_custkey"))
 
 
 def w9_main_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose main category is asked for come first; the order is kept inside each half."""
     p = table(spark, sf_dir, "part").where((F.col("p_type") == "ECONOMY") | contains_ci(F.col("p_name"), "ring"))
-    order = Window.orderBy(F.when(F.col("p_type") == "ECONOMY", 0).otherwise(1), F.desc("p_size"), "p_partkey")
-    return p.select("p_partkey", F.row_number().over(order).alias("place"))
+    rows = p.select("p_partkey", "p_size", F.when(F.col("p_type") == "ECONOMY", 0).otherwise(1).alias("half"))
+    return global_places(rows, F.col("half"), F.desc("p_size"), F.col("p_partkey")).select("p_partkey", "place")
 
 
 def relax(rows: DataFrame, tries: list[tuple[str, Column]]) -> DataFrame:

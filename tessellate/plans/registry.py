@@ -1,7 +1,7 @@
 """Every registered query with its oracle SQL, gathered from the plan modules."""
 
-from . import catalog, scalars, search
+from . import catalog, merges, rollups, scalars, search, sequences
 
-MODULES = [search, catalog, scalars]
+MODULES = [search, catalog, rollups, sequences, merges, scalars]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
