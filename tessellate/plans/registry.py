@@ -1,7 +1,7 @@
 """Every registered query with its oracle SQL, gathered from the plan modules."""
 
-from . import catalog, derivations, kernels, merges, retrieval, rollups, scalars, search, sequences
+from . import catalog, derivations, kernels, merges, questions, retrieval, rollups, scalars, search, sequences
 
-MODULES = [search, catalog, rollups, sequences, merges, retrieval, kernels, derivations, scalars]
+MODULES = [search, catalog, rollups, sequences, merges, retrieval, kernels, derivations, questions, scalars]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
