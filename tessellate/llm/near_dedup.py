@@ -9,9 +9,10 @@ a band; documents with an equal band share a bucket. All documents of a batch ru
 Texts with the same word sequence are one node from the start. In a first round each bucket tile pairs its
 members with its hub, the member that agrees best with the tile's most common registers. Pairs
 whose estimate may reach the threshold are verified on the whole shingle sets, and the links contracted to
-classes. A second round pairs what the first has not joined: within each bucket every member outside the
-bucket's main class meets all members of other classes, in tiles of bounded size. So groups of many copies cost
-a star of links, and no pair of a bucket that may reach the threshold and is not joined already goes untested.
+classes. A second round joins each member outside its bucket's main class with its few best partners. In the
+last round these members meet all members of other classes in the bucket's tiles, and pairs that may reach
+the threshold are verified inside the task, so that only links leave it. So groups of many copies cost about a
+star of links, and no pair of a bucket that may reach the threshold and is not joined already goes untested.
 
 Defined results: null text, and text without a word, is a class of its own; shorter texts than a
 shingle are one shingle; a class's id is its smallest doc_id; repeated rows are copies; an empty table gives
@@ -33,6 +34,8 @@ from .common import materialize, read_table
 WORDS, THRESHOLD, REGISTERS, ROWS, BANDS = 5, 0.8, 128, 5, 25
 #: estimates have a deviation below 0.04 at the threshold
 MAYBE, TILE = 0.64, 2048
+#: best partners that a member outside its bucket's main class asks in the second round
+BEST = 4
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -175,34 +178,90 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, tile: int) -> DataFrame:
-    """Pairs of different classes in a bucket whose estimate may reach the threshold; members (bucket, key, sig, tile, tiles)."""
+def rest_rows(members: DataFrame, labels: DataFrame, tile: int) -> DataFrame:
+    """Rows (bucket, tile, chunk, key, sig, label, rest, home): each member at home in its tile, and the members
+    outside their bucket's main class (`rest`) as guests of every tile, in chunks of bounded size."""
     known = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     sizes = known.groupBy("bucket", "label").count()
     main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most")).where("n > most")
     rows = known.join(main, "bucket").withColumn("rest", F.col("label") != F.col("main"))
-    # the members outside the main class meet every tile, in chunks of bounded size
     rows = rows.withColumn("chunks", F.ceil((F.col("n") - F.col("most")) / tile).cast("int"))
     own = rows.select("bucket", "tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "key", "sig", "label", "rest", F.lit(True).alias("home"))
     met = rows.where("rest").select("bucket", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.pmod(F.xxhash64("key", F.lit(5)), F.col("chunks")).cast("int").alias("chunk"), "key", "sig", "label", "rest", F.lit(False).alias("home"))
+    return own.unionByName(met)
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "tile", "chunk").sortWithinPartitions("bucket", "tile", "chunk", "key")
+
+
+def _meetings(rows: list[dict], both_ways: bool) -> Iterator[tuple[dict, list[dict], np.ndarray, np.ndarray]]:
+    """Each guest of a group with those at home that are of another class and may reach the threshold."""
+    here, asks = [r for r in rows if r["home"]], [r for r in rows if not r["home"]]
+    if not here or not asks:
+        return
+    sig, keys = _tile(here), np.array([r["key"] for r in here])
+    label, rest = np.array([r["label"] for r in here]), np.array([r["rest"] for r in here])
+    for q, one in zip(_tile(asks), asks):
+        ok = label != one["label"]
+        if not both_ways:  # two members of the rest meet twice; the smaller key asks
+            ok &= ~rest | (keys > one["key"])
+        at = np.flatnonzero(ok)
+        alike = (sig[at] == q).mean(1)
+        at, alike = at[alike >= MAYBE], alike[alike >= MAYBE]
+        if len(at):
+            yield one, here, at, alike
+
+
+def best_pairs(rows: DataFrame, best: int) -> DataFrame:
+    """For each guest its few best partners of another class in a tile, as pairs (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, 3):
-            here, asks = [r for r in rows if r["home"]], [r for r in rows if not r["home"]]
-            if not here or not asks:
-                continue
-            sig, keys = _tile(here), np.array([r["key"] for r in here])
-            label, rest = np.array([r["label"] for r in here]), np.array([r["rest"] for r in here])
-            for q, one in zip(_tile(asks), asks):
-                # two members of the rest meet twice; the smaller key asks
-                ok = (label != one["label"]) & (~rest | (keys > one["key"]))
-                at = np.flatnonzero(ok)
-                at = at[(sig[at] == q).mean(1) >= MAYBE]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(keys[at], one["key"])), pa.array(np.maximum(keys[at], one["key"]))], ["a", "b"])
-
-    ordered = own.unionByName(met).repartition("bucket", "tile", "chunk").sortWithinPartitions("bucket", "tile", "chunk", "key")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+        for group in _groups(batches, 3):
+            for one, here, at, alike in _meetings(group, True):
+                keys = np.array([here[i]["key"] for i in at[np.argsort(-alike, kind="stable")[:best]]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(keys, one["key"])), pa.array(np.maximum(keys, one["key"]))], ["a", "b"])
+
+    return _grouped(rows).mapInArrow(run, "a long, b long").distinct()
+
+
+def rest_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links between different classes of a bucket, verified where the members meet; only links leave a task.
+
+    A first pass keeps the members that have a pair to verify, and only they are given their shingle sets."""
+
+    def takes_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        for group in _groups(batches, 3):
+            names, part = list(group[0]), {}
+            for one, here, at, _ in _meetings(group, False):
+                part[id(one)] = one
+                part.update((id(here[i]), here[i]) for i in at)
+            if part:
+                cols = [pa.array([r[n] for r in part.values()], t) for n, t in zip(names, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            for one, here, at, _ in _meetings(group, False):
+                x = np.frombuffer(one["shingles"], "<u4")
+                keys = np.array([here[i]["key"] for i in at if similar(x, np.frombuffer(here[i]["shingles"], "<u4"))], np.int64)
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(keys, one["key"])), pa.array(np.maximum(keys, one["key"]))], ["a", "b"])
+
+    schema = "bucket long, tile int, chunk int, key long, sig binary, label long, rest boolean, home boolean"
+    part = materialize(_grouped(rows).mapInArrow(takes_part, schema), "meetings")
+    given = part.join(sets, "key").select("bucket", "tile", "chunk", "key", "sig", "label", "rest", "home", "shingles")
+    return materialize(_grouped(given).mapInArrow(run, "a long, b long").distinct(), "rest-links")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Jaccard similarity of two sorted sets of at least THRESHOLD."""
+    small, large = min(len(x), len(y)), max(len(x), len(y))
+    if small < THRESHOLD * large:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= THRESHOLD * (small + large - both) - 1e-9
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -213,13 +272,8 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if small >= THRESHOLD * large else 0
-                ok.append(both >= THRESHOLD * (small + large - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok))
+            ok = [similar(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) for x, y in zip(b.column(2), b.column(3))]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return materialize(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
 
@@ -265,8 +319,9 @@ def classes(prints: DataFrame, tile: int = TILE) -> DataFrame:
     sets = materialize(sets, "sets")
     pairs = materialize(hub_pairs(members), "hub-pairs")
     labels = contract(verify(pairs, sets))
-    rest = materialize(rest_pairs(members, labels, tile).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
+    rest = materialize(best_pairs(rest_rows(members, labels, tile), BEST).join(pairs, ["a", "b"], "left_anti"), "best-pairs")
     labels = contract(verify(rest, sets), labels)
+    labels = contract(rest_links(rest_rows(members, labels, tile), sets), labels)
     linked = nodes.select("key", "rep", "copies").join(labels, "key")
     named = linked.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
     linked = linked.join(named, "label").select("key", "class_id", "class_size")
