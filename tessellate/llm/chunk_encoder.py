@@ -97,8 +97,8 @@ class ChunkEncoder:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str, space_sticks: bool) -> ChunkEncoder:
+def encoder(path: str, space_sticks: bool, limit: int = 600_000) -> ChunkEncoder:
     """One encoder per worker process, so the memo outlives a task."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path, space_sticks)
+        _encoders[path] = ChunkEncoder(path, space_sticks, limit)
     return _encoders[path]

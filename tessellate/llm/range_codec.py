@@ -17,7 +17,7 @@ import zlib
 import numpy as np
 
 SCALE, TOTAL, CONTEXT_BITS, WINDOW = 18, 24, 12, 16
-LANES, BLOCK = 1536, 2048
+LANES, BLOCK = 2048, 2048
 GROUP = LANES * BLOCK
 REFRESH = (128, 512)
 TOP, LOW32, M48 = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64((1 << 48) - 1)

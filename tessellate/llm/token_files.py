@@ -27,7 +27,7 @@ from .chunk_encoder import encoder
 from .common import materialize, open_output, read_table, shared_dir
 from .range_codec import GROUP, decode_group, encode_group
 
-TOKENIZER, END_ID = "word_bpe_49k.json", 1
+TOKENIZER, END_ID, MEMO = "word_bpe_49k.json", 1, 1_200_000
 MAGIC, TAIL = b"IDFILE1\n", struct.Struct("<QQI8s")
 
 
@@ -92,7 +92,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     """Writes docs (doc_id, text); returns one row a file: part, file, n_docs, n_ids, in doc_id order by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(tokenizer_path, space_sticks), np.array([end_id], "<u4").tobytes()
+        enc, tail = encoder(tokenizer_path, space_sticks, MEMO), np.array([end_id], "<u4").tobytes()
 
         def rows() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
