@@ -77,3 +77,21 @@ def test_empty_and_repeated_rows(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
     assert sorted((r.doc_id, r.class_id, r.class_size) for r in near_dedup.near_duplicates(docs).collect()) == [(1, 1, 4)] * 3 + [(2, 1, 4)] + [(3, 3, 1)] * 2
     assert sorted(r.doc_id for r in near_dedup.dedup(docs).collect()) == [1, 3, 3]
+
+
+def test_copies_that_repeat_a_passage(spark):
+    """A pair's distinct shingles decide, however often one of the two repeats some of them."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(30):
+        words = [f"p{k}w{i}" for i in range(200)]
+        passage = words[40:100]
+        # even k: the same shingles besides the seams; odd k: some words changed too
+        changed = list(words)
+        for i in rng.sample(range(110, 195), 2 * (k % 2)):
+            changed[i] += "x"
+        rows += [" ".join(words), " ".join(changed[:100] + passage * 19 + changed[100:])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = brute(list(enumerate(rows)))
+    assert all(size == 2 for _, size in want.values())
+    assert {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.near_duplicates(docs).collect()} == want
