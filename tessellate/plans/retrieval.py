@@ -87,11 +87,27 @@ def t18_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j10_name_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose name holds at least 60 % of the wanted words."""
+    """Each part's five best other parts whose name holds at least 60 % of its words.
+
+    Parts of equal words have equal shares, so the inverted index is over the distinct word sets; of each set only
+    the parts with the smallest keys can be among the best, one more than wanted for the part itself."""
+    top = 5
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) >= 3))
-    asked = table(spark, sf_dir, "part").where("p_partkey < 30").select(F.col("p_partkey").alias("row_id"), words(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"))
-    there = table(spark, sf_dir, "part").where("p_partkey >= 1000").select(F.col("p_partkey").alias("page_id"), words(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"))
-    return token_share(asked, there, top=5, least_tokens=1)
+    p = table(spark, sf_dir, "part").select("p_partkey", F.array_sort(words(F.concat_ws(" ", "p_name", "p_type"))).alias("tokens"))
+    least = Window.partitionBy("tokens").orderBy("p_partkey")
+    first = p.withColumn("k", F.row_number().over(least)).where(F.col("k") <= top + 1)
+    sets = first.where("k = 1").select(F.col("p_partkey").alias("set_id"), "tokens")
+    size = sets.select(F.col("set_id").alias("row_id"), F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    index = sets.select(F.col("set_id").alias("other"), F.explode("tokens").alias("token"))
+    hits = size.join(index, "token").groupBy("row_id", "size", "other").agg(F.count("*").alias("n")).where(F.col("n") >= 0.6 * F.col("size"))
+    members = first.join(sets, "tokens").select(F.col("set_id").alias("other"), F.col("p_partkey").alias("page_id"))
+    share = F.col("n") / F.col("size")
+    best = hits.join(members, "other").withColumn("k", F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc(share), "page_id"))).where(F.col("k") <= top + 1)
+    asked = p.join(sets, "tokens").select(F.col("set_id").alias("row_id"), "p_partkey")
+    pages = best.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("k", "page_id", "n", F.round(share, 4).alias("share")))).alias("best"))
+    others = F.slice(F.filter("best", lambda x: x["page_id"] != F.col("p_partkey")), 1, top)
+    found = asked.join(pages, "row_id").select(F.col("p_partkey").alias("row_id"), F.posexplode(others).alias("pos", "b"))
+    return found.select("row_id", "b.page_id", "b.n", "b.share", (F.col("pos") + 1).alias("place"))
 
 
 QUERIES = {f.__name__: f for f in (k13_suggestions, p12_evidence, f21_running_heads, k9_near_names, t18_snippets, j10_name_share)}
