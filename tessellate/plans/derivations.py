@@ -125,10 +125,13 @@ def a16_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s12_cached_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wanted cells that a cache log doesn't hold yet; the last entry of a key counts."""
+    """Wanted cells that a cache log doesn't hold yet; the last entry of a key counts.
+
+    Wanted are the first 200 cells, every cell of the log and its two neighbours."""
     e = table(spark, sf_dir, "events")
     cache = e.groupBy(F.col("user_id").alias("cell")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("text")).where("text <> 'error'")
-    wanted = spark.range(0, 200).select(F.col("id").alias("cell"))
+    near = e.select("user_id").distinct().select(F.explode(F.sequence(F.col("user_id") - 1, F.col("user_id") + 1)).alias("cell")).where("cell >= 0")
+    wanted = spark.range(0, 200).select(F.col("id").alias("cell")).unionByName(near).distinct()
     return wanted.join(cache, "cell", "left_anti").where(~contains_ci(F.col("cell").cast("string"), "99"))
 
 

@@ -43,3 +43,22 @@ def test_all_orders(spark, far_keys, name):
     found = con.execute(re.sub(r" WHERE l_orderkey < \d+", "", registry.SQL[name]))
     names = [d[0] for d in found.description]
     assert sorted(map(repr, map(tuple, df.select(*names).collect()))) == sorted(map(repr, found.fetchall()))
+
+
+def test_verdicts_of_all_lines(spark, far_keys):
+    folder, con = far_keys
+    df = registry.QUERIES["p3_verdicts"](spark, folder)
+    found = con.execute(registry.SQL["p3_verdicts"].replace(" WHERE l_orderkey % 10 = 3", ""))
+    names = [d[0] for d in found.description]
+    assert sorted(map(repr, map(tuple, df.select(*names).collect()))) == sorted(map(repr, found.fetchall()))
+
+
+def test_cells_of_the_whole_log(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (user_id * 37 AS user_id) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
+    log = con.execute(f"SELECT user_id, event_type FROM '{tmp_path}/events.parquet' ORDER BY ts, event_id").fetchall()
+    held = {k for k, kind in dict(log).items() if kind != "error"}
+    wanted = {*range(200), *(k + d for k, _ in log for d in (-1, 0, 1) if k + d >= 0)}
+    got = [r.cell for r in registry.QUERIES["s12_cached_cells"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(k for k in wanted - held if "99" not in str(k))
+    assert max(got) > 500
