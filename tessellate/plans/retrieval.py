@@ -1,4 +1,4 @@
-"""Token-share retrieval and repeated lines."""
+"""Token-share retrieval and repeated lines."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ def k13_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p12_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of each turn with the turn before it, by thresholds."""
+    """Overlap of each turn with the turn before it, by thresholds."""
     c = table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"])
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"), 1))
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -39,7 +39,7 @@ def p12_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f21_running_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that stand on more than half of a source's pages, of sources with at least five."""
+    """Lines that stand on more than half of a source's pages, of sources with at least five."""
     d = table(spark, sf_dir, "documents").where("source IS NOT NULL")
     pages = d.groupBy("source").agg(F.count("*").alias("pages")).where("pages >= 5")
     lines = d.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''").distinct()

@@ -124,7 +124,7 @@ def s18_picked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row verdict: fail over review over ok, with the reasons; headings are left alone."""
+    """Row verdict: fail over review over ok, with the reasons; headings are left alone."""
     li = table(spark, sf_dir, "lineitem")
     axes = {
         "price": F.when(F.col("l_extendedprice") > 90000, "fail").when(F.col("l_extendedprice") > 60000, "review").otherwise("ok"),
