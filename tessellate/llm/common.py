@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below spark.checkpoint.dir (which all executors share).
 
-    Only where that setting is absent (local tests) a temporary folder is taken."""
+    Only a local session, whose executors share the machine, may leave that setting out; a temporary folder is taken."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.environ.get("TESSELLATE_SCRATCH") or tempfile.mkdtemp(prefix="spark-")
         if "://" not in base:
             base = "file://" + os.path.abspath(base)
@@ -25,12 +28,39 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, uri: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables in one new shared folder: writing one cuts lineage and survives lost executors.
+
+    A table is deleted by drop() after its last reader, or when another one is written under its name."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, shared_dir(spark, name), {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                remove(self.spark, self.paths.pop(name))
+
+    def keep_only(self, *names: str) -> None:
+        self.drop(*[n for n in self.paths if n not in names])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write df as Parquet in a shared folder of its own and read it back."""
+    return Scratch(df.sparkSession, name).write(df, name)
 
 
 def open_output(uri: str):

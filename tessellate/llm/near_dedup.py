@@ -14,11 +14,15 @@ classes. A second round joins each member outside its bucket's main class with i
 last round these members meet all members of other classes in the bucket's tiles, and pairs that may reach
 the threshold are verified inside the task, so that only links leave it. So groups of many copies cost about a
 star of links, and no pair of a bucket that may reach the threshold and is not joined already goes untested.
+Buckets with the same members count once.
+
+The registers and bands of all texts are written, 330 bytes a document; shingle sets are made in a second
+pass over the texts that share a bucket, and every table is deleted after its last reader.
 
 Defined results: null text, and text without a word, is a class of its own; shorter texts than a
-shingle are one shingle; a class's id is its smallest doc_id; repeated rows are copies; an empty table gives
-an empty result; other input columns are ignored (dedup() keeps them). Word sequences are told apart by a
-64-bit hash.
+shingle are one shingle; a class's id is its smallest doc_id (null if none has one); repeated rows are copies;
+an empty table gives an empty result; other input columns are ignored (dedup() keeps them, whatever their
+names). Word sequences are told apart by a 64-bit hash; a row is known by its doc_id and a hash of its text.
 """
 
 from __future__ import annotations
@@ -27,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import Scratch, read_table
 
 WORDS, THRESHOLD, REGISTERS, ROWS, BANDS = 5, 0.8, 128, 5, 25
 #: estimates have a deviation below 0.04 at the threshold: they are of the similarity that verification measures
@@ -109,33 +113,48 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h
 
 
-def fingerprints(docs: DataFrame, extra: str = "") -> DataFrame:
-    """doc_id (and one more long column), key (null without words), registers, bands and the shingle set of each text."""
-    names = ["doc_id", *([extra] if extra else [])]
+def identified(docs: DataFrame, *columns: Column) -> DataFrame:
+    """id and mark (a hash of the text) that tell docs' rows apart, and the given columns."""
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"), *columns)
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """id, mark, key (null without words), registers and bands of each text of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                keys, lists = shingles([t or "" for t in part.column(len(names)).to_pylist()])
-                bags = [(values, np.ones(len(values))) for values in map(np.unique, lists)]
-                sig = signatures(bags)
-                bands = band_keys(sig)
+                keys, lists = shingles([t or "" for t in part.column(2).to_pylist()])
+                sig = signatures([(values, np.ones(len(values))) for values in map(np.unique, lists)])
                 some = np.array([len(h) > 0 for h in lists])
-                sets = [np.unique((v >> np.uint64(32)).astype("<u4")).tobytes() for v, _ in bags]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *part.columns[: len(names)],
+                        *part.columns[:2],
                         pa.array(keys.view(np.int64), mask=~some),
                         pa.array([s.tobytes() for s in (sig & np.uint64(255)).astype(np.uint8)]),
-                        pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())),
-                        pa.array(sets, pa.binary()),
+                        pa.array(list(band_keys(sig).view(np.int64)), pa.list_(pa.int64())),
                     ],
-                    [*names, "key", "sig", "bands", "shingles"],
+                    ["id", "mark", "key", "sig", "bands"],
                 )
 
-    schema = ", ".join(f"{n} long" for n in names)
-    return docs.select(*names, "text").mapInArrow(run, f"{schema}, key long, sig binary, bands array<long>, shingles binary")
+    return identified(docs, F.col("text")).mapInArrow(run, "id long, mark long, key long, sig binary, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key and shingle set (sorted, 32 bits a shingle) of the texts of docs whose id and mark are in wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                keys, lists = shingles([t or "" for t in b.column(0).slice(k, 256).to_pylist()])
+                sets = [np.unique((v >> np.uint64(32)).astype("<u4")).tobytes() for v in lists]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets, pa.binary())], ["key", "shingles"])
+
+    rows, asked = identified(docs, F.col("text")), wanted.withColumnsRenamed({"id": "asked_id", "mark": "asked"})
+    found = rows.join(asked.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("asked_id")) & (F.col("mark") == F.col("asked")), "left_semi")
+    sets = found.select("text").mapInArrow(run, "key long, shingles binary")
+    return sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[dict]]:
@@ -176,13 +195,13 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def rest_rows(members: DataFrame, labels: DataFrame, tile: int) -> DataFrame:
+def rest_rows(members: DataFrame, sigs: DataFrame, labels: DataFrame, tile: int) -> DataFrame:
     """Rows (bucket, tile, chunk, key, sig, label, rest, home): each member at home in its tile, and the members
     outside their bucket's main class (`rest`) as guests of every tile, in chunks of bounded size."""
     known = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     sizes = known.groupBy("bucket", "label").count()
     main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most")).where("n > most")
-    rows = known.join(main, "bucket").withColumn("rest", F.col("label") != F.col("main"))
+    rows = known.join(main, "bucket").join(sigs, "key").withColumn("rest", F.col("label") != F.col("main"))
     rows = rows.withColumn("chunks", F.ceil((F.col("n") - F.col("most")) / tile).cast("int"))
     own = rows.select("bucket", "tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "key", "sig", "label", "rest", F.lit(True).alias("home"))
     met = rows.where("rest").select("bucket", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.pmod(F.xxhash64("key", F.lit(5)), F.col("chunks")).cast("int").alias("chunk"), "key", "sig", "label", "rest", F.lit(False).alias("home"))
@@ -223,7 +242,7 @@ def best_pairs(rows: DataFrame, best: int) -> DataFrame:
     return _grouped(rows).mapInArrow(run, "a long, b long").distinct()
 
 
-def rest_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def rest_links(rows: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """All links between different classes of a bucket, verified where the members meet; only links leave a task.
 
     A first pass keeps the members that have a pair to verify, and only they are given their shingle sets."""
@@ -248,9 +267,9 @@ def rest_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(keys, one["key"])), pa.array(np.maximum(keys, one["key"]))], ["a", "b"])
 
     schema = "bucket long, tile int, chunk int, key long, sig binary, label long, rest boolean, home boolean"
-    part = materialize(_grouped(rows).mapInArrow(takes_part, schema), "meetings")
+    part = scratch.write(_grouped(rows).mapInArrow(takes_part, schema), "meetings")
     given = part.join(sets, "key").select("bucket", "tile", "chunk", "key", "sig", "label", "rest", "home", "shingles")
-    return materialize(_grouped(given).mapInArrow(run, "a long, b long").distinct(), "rest-links")
+    return scratch.write(_grouped(given).mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -262,10 +281,8 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return both >= THRESHOLD * (small + large - both) - 1e-9
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least THRESHOLD; sets (key, shingles)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = materialize(sets.join(wanted, "key", "left_semi"), "candidate-sets")
     both = pairs.join(sets.withColumnsRenamed({"key": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"key": "b", "shingles": "sb"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,76 +290,104 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = [similar(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
+    return scratch.write(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
+
+
+#: shares into which the rows of one label, or the pairs of one hub, are dealt in a join
+SALT = 16
+
+
+def renamed(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """rows with `column` replaced by its name in names (key, name), where it has one; rows of one value are dealt to SALT shares."""
+    share = F.pmod(F.xxhash64(*[c for c in rows.columns if c != column]), F.lit(SALT)).cast("int")
+    spread = names.select(F.col("key").alias(column), "name", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("share"))
+    joined = rows.withColumn("share", share).join(spread, [column, "share"], "left")
+    return joined.select(*[F.coalesce("name", column).alias(column) if c == column else F.col(c) for c in rows.columns])
 
 
-def contract(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def contract(links: DataFrame, scratch: Scratch, labels: DataFrame | None = None) -> DataFrame:
     """Connected components: (key, label), label the smallest node, for all nodes of links and earlier labels.
 
     Every pass moves each node to its smallest neighbour's own smallest neighbour and drops inner links."""
     edges = links.select("a", "b")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     if labels is None:
-        labels = materialize(nodes.withColumn("label", F.col("key")), "labels")
+        labels = scratch.write(nodes.withColumn("label", F.col("key")), "labels")
     else:
-        labels = materialize(nodes.join(labels, "key", "left_anti").select("key", F.col("key").alias("label")).unionByName(labels), "labels")
-        for end in ("a", "b"):
-            edges = edges.join(labels.withColumnRenamed("key", end), end).drop(end).withColumnRenamed("label", end)
-        edges = materialize(edges.where("a != b").distinct(), "edges")
+        labels = scratch.write(nodes.join(labels, "key", "left_anti").select("key", F.col("key").alias("label")).unionByName(labels), "labels")
+        names = labels.withColumnRenamed("label", "name")
+        edges = scratch.write(renamed(renamed(edges, "a", names), "b", names).where("a != b").distinct(), "edges")
     while edges.head(1):
         near = edges.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("b").alias("to")), F.struct(F.col("b").alias("key"), F.col("a").alias("to")))).alias("e")).select("e.*")
-        step = materialize(near.groupBy("key").agg(F.least(F.min("to"), F.first("key")).alias("to")), "step")
-        jump = materialize(step.join(step.select(F.col("key").alias("to"), F.col("to").alias("next")), "to").select("key", F.least("to", "next").alias("to")), "jump")
-        labels = materialize(labels.join(jump.withColumnRenamed("key", "label"), "label", "left").select("key", F.coalesce("to", "label").alias("label")), "labels")
-        for end in ("a", "b"):
-            edges = edges.join(jump.select(F.col("key").alias(end), F.col("to").alias("next")), end).drop(end).withColumnRenamed("next", end)
-        edges = materialize(edges.where("a != b").distinct(), "edges")
+        step = scratch.write(near.groupBy("key").agg(F.least(F.min("to"), F.first("key")).alias("to")), "step")
+        jump = scratch.write(renamed(step, "to", step.withColumnRenamed("to", "name")), "jump").withColumnRenamed("to", "name")
+        labels = scratch.write(renamed(labels, "label", jump), "labels")
+        edges = scratch.write(renamed(renamed(edges, "a", jump), "b", jump).where("a != b").distinct(), "edges")
+    scratch.drop("edges", "step", "jump", "links")
     return labels
 
 
-def classes(prints: DataFrame, tile: int = TILE) -> DataFrame:
-    """(key, class_id, class_size) for every key of fingerprints(); class_id is the smallest doc_id."""
-    texts = prints.where("key IS NOT NULL")
-    # the copies of a text have equal registers, bands and sets
-    first = ("sig", "bands")
-    distinct = texts.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in first])
-    nodes = materialize(distinct, "nodes")
+def classes(prints: DataFrame, docs: DataFrame, scratch: Scratch, tile: int = TILE) -> DataFrame:
+    """(key, class_key, class_id, class_size) for every key of fingerprints(docs); class_id is the smallest doc_id."""
+    # the copies of a text have equal registers and bands
+    distinct = prints.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("sig", "bands")], F.first(F.struct("id", "mark")).alias("one"))
+    nodes = scratch.write(distinct, "nodes")
+    sigs = nodes.select("key", "sig")
     bands = nodes.select("key", F.explode("bands").alias("bucket"))
-    sizes = bands.groupBy("bucket").count().where("count > 1")
-    places = materialize(bands.join(sizes, "bucket").withColumnRenamed("count", "size"), "buckets")
-    members = places.join(nodes.select("key", "sig"), "key").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
-    members = materialize(members.select("bucket", "key", "sig", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int").alias("tile"), "tiles"), "members")
-    # one set a key: a text's copies have the same one
-    sets = texts.select("key", "shingles").join(places.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    sets = materialize(sets, "sets")
-    pairs = materialize(hub_pairs(members), "hub-pairs")
-    labels = contract(verify(pairs, sets))
-    rest = materialize(best_pairs(rest_rows(members, labels, tile), BEST).join(pairs, ["a", "b"], "left_anti"), "best-pairs")
-    labels = contract(verify(rest, sets), labels)
-    labels = contract(rest_links(rest_rows(members, labels, tile), sets), labels)
+    # of buckets with the same members (as many, and both hashes of theirs agree) one is enough
+    held = bands.groupBy("bucket").agg(F.count("*").alias("size"), *[F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"h{k}") for k in (1, 2)]).where("size > 1")
+    chosen = held.groupBy("size", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    members = bands.join(chosen, "bucket").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
+    members = scratch.write(members.select("bucket", "key", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int").alias("tile"), "tiles"), "members")
+    wanted = nodes.join(members.select("key").distinct(), "key", "left_semi").select("one.*")
+    sets = scratch.write(shingle_sets(docs, wanted), "sets")
+    pairs = scratch.write(hub_pairs(members.join(sigs, "key")), "hub-pairs")
+    labels = contract(verify(pairs, sets, scratch), scratch)
+    rest = scratch.write(best_pairs(rest_rows(members, sigs, labels, tile), BEST).join(pairs, ["a", "b"], "left_anti"), "best-pairs")
+    labels = contract(verify(rest, sets, scratch), scratch, labels)
+    scratch.drop("hub-pairs", "best-pairs")
+    links = rest_links(rest_rows(members, sigs, labels, tile), sets, scratch)
+    scratch.drop("sets", "meetings", "members")
+    labels = contract(links, scratch, labels)
     linked = nodes.select("key", "rep", "copies").join(labels, "key")
     named = linked.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    linked = linked.join(named, "label").select("key", "class_id", "class_size")
-    return nodes.select("key", "rep", "copies").join(linked, "key", "left").select("key", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_size", "copies").alias("class_size"))
+    linked = linked.join(named, "label").select("key", F.col("label").alias("class_key"), "class_id", "class_size")
+    out = nodes.select("key", "rep", "copies").join(linked, "key", "left")
+    own = F.col("class_key").isNull()
+    out = out.select("key", F.coalesce("class_key", "key").alias("class_key"), F.when(own, F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", "copies").alias("class_size"))
+    out = scratch.write(out, "classes")
+    scratch.drop("nodes", "labels")
+    return out
 
 
 def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """doc_id, class_id and class_size for every row of docs (doc_id, text)."""
-    prints = materialize(fingerprints(docs), "prints")
-    found = prints.select("doc_id", "key").join(classes(prints, tile), "key", "left")
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    prints = scratch.write(fingerprints(docs), "prints")
+    found = prints.select("id", "key").join(classes(prints, docs, scratch, tile), "key", "left")
     alone = F.col("key").isNull()
-    return found.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("class_size")).alias("class_size"))
+    found = scratch.write(found.select(F.col("id").alias("doc_id"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("class_size")).alias("class_size")), "found")
+    scratch.keep_only("found")
+    return found
 
 
 def dedup(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """One row of each class of docs, the one with the smallest doc_id, with all columns."""
-    row = "_near_dedup_row"
-    held = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    prints = materialize(fingerprints(held, row), "prints")
-    found = prints.select("doc_id", "key", row).join(classes(prints, tile).select("key", "class_id"), "key")
-    kept = found.groupBy("class_id").agg(F.min_by(row, F.struct(F.coalesce(F.col("doc_id") != F.col("class_id"), F.lit(False)), F.col(row))).alias(row)).select(row)
-    kept = kept.unionByName(prints.where("key IS NULL").select(row))
-    return held.join(kept, row, "left_semi").drop(row)
+    scratch = Scratch(docs.sparkSession, "dedup")
+    prints = scratch.write(fingerprints(docs), "prints")
+    names = classes(prints, docs, scratch, tile).select("key", "class_key", "class_id")
+    rows = prints.where("key IS NOT NULL").groupBy("id", "mark").agg(F.first("key").alias("key"), (F.count("*") > 1).alias("again")).join(names, "key")
+    first = F.struct(~F.col("id").eqNullSafe(F.col("class_id")), "id", "mark")
+    kept = rows.groupBy("class_key").agg(F.min_by(F.struct("id", "mark", "again"), first).alias("row")).select("row.*")
+    wordless = prints.where("key IS NULL").select("id", "mark", F.lit(False).alias("again")).distinct()
+    kept = scratch.write(kept.unionByName(wordless), "kept").withColumnsRenamed({"id": "kept_id", "mark": "kept"})
+    scratch.keep_only("kept")
+    held = identified(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"))
+    found = held.join(kept.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept")))
+    once = found.where("NOT again").select("held")
+    # rows that repeat with the same id and text: one of them
+    repeated = found.where("again").groupBy("kept_id", "kept").agg(F.first("held").alias("held")).select("held")
+    return once.unionByName(repeated).select("held.*")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
