@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_table
 from .grams import buffer, hashes, table
@@ -139,27 +140,33 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
     return train([np.frombuffer(r["bag"], "<u4") for r in rows], np.array([int(r["toxic"] > 0) for r in rows], int))
 
 
-def score(docs: DataFrame, model: Model, keep: str = "doc_id long, held_out boolean", with_text: bool = False) -> DataFrame:
-    """The named columns of docs and their texts' score and predicted class; `keep` gives names and types."""
+def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """The named columns of docs (doc_id, text, ...) with the score and the predicted class of their texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [x.split()[0] for x in keep.split(", ")]
-    told = [*names, *(["text"] if with_text else [])]
+    rows = docs.select(*keep, F.col("text").alias("_body"))
+    kinds = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                s = shared.value.score([t or "" for t in part.column(len(names)).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(told)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*told, "score", "predicted"])
+                s = shared.value.score([t or "" for t in part.column(len(keep)).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*names, "text").mapInArrow(run, f"{keep}, {'text string, ' if with_text else ''}score double, predicted int")
+    return rows.mapInArrow(run, kinds)
+
+
+def filter_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that the model doesn't call toxic, with their own columns (whatever their names)."""
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held")
+    return score(docs.select(held, "text"), model, "held").where("predicted = 0").select("held.*")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held)
-    return score(docs.withColumn("held_out", held), fit(docs, labels))
+    return score(docs.withColumn("held_out", held), fit(docs, labels), "doc_id", "held_out")
 
 
 QUERIES = {"op6_toxicity": op6_toxicity}
