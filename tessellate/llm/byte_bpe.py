@@ -1,12 +1,15 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-Per task, each text becomes places in the list of the task's distinct words (pre-token matches); only
-words that are new to the task go on to Spark. There, higher-order functions fold the ranked merges over the
-word's byte array: a rank map, kept in the plan as literal arrays, gives each neighbouring pair the rank of its
-merged token, and every step of the fold merges the leftmost pair of the lowest rank. Decoding folds the
-tokens' binary pieces together again. Texts are then put together from their words' ids and pieces. All
-steps are narrow: no shuffle, and a lost task is simply run again. The word list starts anew when it
-reaches LIST_LIMIT, so memory is bounded.
+Higher-order functions fold the ranked merges over a word's byte array: a rank map, kept in the plan as
+literal arrays, gives each neighbouring pair the rank of its merged token, and every step of the fold merges
+the leftmost pair of the lowest rank. Decoding folds the tokens' binary pieces together again.
+
+First the distinct words (pre-token matches) of all texts are counted by the number of tasks that hold them.
+The most widespread ones, at most SHARED_WORDS words of at most SHARED_BYTES bytes, are folded once and
+broadcast. Then each task turns its texts into places in the shared list and in a list of its own other
+distinct words, which Spark folds as they come up, and the texts are put together from their words' ids and
+pieces. No text is shuffled, and a lost task is simply run again. A task's list starts anew when it reaches
+LIST_LIMIT, so memory is bounded; results never depend on either list.
 
 A word of more than LONG bytes takes the same merges by a heap in the worker, since a fold copies its arrays
 in every step. Defined results: null text is empty text (no ids); repeated rows are encoded one by
@@ -23,12 +26,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read_table
+from .common import Scratch, let, read_table
 
-RANKS, LIST_LIMIT, LONG = "byte_bpe_50k.tiktoken", 400_000, 512
+RANKS, LIST_LIMIT, LONG = "byte_bpe_50k.tiktoken", 200_000, 4096
+SHARED_WORDS, SHARED_BYTES = 400_000, 32
 NONE = 65536
 
 
@@ -163,67 +168,190 @@ def merge_long(word: bytes, path: str) -> list[int]:
     return [x for x, dead in zip(ids, gone) if not dead]
 
 
+class SharedWords:
+    """Words that all tasks know: their places run from 0 in the order of their hashes."""
+
+    def __init__(self, rows: list[tuple[str, bytes, bytes]]):
+        """rows: word, ids as little-endian uint32, decoded bytes."""
+        rows = sorted((_hash(w), w, ids, piece) for w, ids, piece in rows)
+        self.hashes = np.array([r[0] for r in rows], np.uint64)
+        self.text = [packed([r[k].encode() if k == 1 else r[k] for r in rows]) for k in (1, 2, 3)]
+        self.cells: tuple[list[bytes], list[bytes]] | None = None
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def lists(self) -> tuple[list[bytes], list[bytes]]:
+        """The ids and the decoded bytes by place; a task appends its own words' and begins by cutting off the last task's."""
+        if not self.cells:
+            self.cells = tuple([data[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())] for data, ends in self.text[1:])
+        for cells in self.cells:
+            del cells[len(self) :]
+        return self.cells
+
+    def find(self, words: list[str]) -> list[int]:
+        """Each word's place, or -1."""
+        if not len(self.hashes):
+            return [-1] * len(words)
+        wanted = np.array([_hash(w) for w in words], np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        (data, ends), out = self.text[0], []
+        for w, p, same in zip(words, at.tolist(), (self.hashes[at] == wanted).tolist()):
+            out.append(p if same and data[ends[p - 1] if p else 0 : ends[p]] == w.encode() else -1)
+        return out
+
+
+def _hash(word: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word.encode())
+
+
+def packed(cells: list[bytes]) -> tuple[bytes, np.ndarray]:
+    return b"".join(cells), np.cumsum([len(c) for c in cells], dtype=np.int64) if cells else np.zeros(0, np.int64)
+
+
+class _Memo(dict):
+    def __init__(self, compute):
+        self.compute = compute
+
+    def __missing__(self, key):
+        value = self[key] = self.compute(key)
+        return value
+
+
+def _spaced(chunk: str) -> str | None:
+    """The piece of a text that a chunk between spaces stands for, or None if it could join the white space before it."""
+    line = chunk[:1] == "\n"
+    first = chunk[line : line + 1]
+    if not first or first.isspace() or not first.isprintable():
+        return None
+    return chunk if line else " " + chunk
+
+
 class WordList:
-    """Numbers the distinct words of texts; `fresh` holds those not yet handed out."""
+    """Turns texts into places: those of the shared words, and behind them a task's own words in order of appearance.
 
-    def __init__(self, pattern: str):
+    `fresh` holds own words not yet handed out."""
+
+    def __init__(self, pattern: str, shared: SharedWords):
         import regex
 
-        self.find = regex.compile(pattern).findall
+        self.find, self.shared = regex.compile(pattern).findall, shared
         self.start()
 
     def start(self) -> None:
         self.number: dict[str, int] = {}
-        self.spaced, self.heads, self.fresh = _Memo(self._spaced), _Memo(self._places), []
+        self.own, self.fresh = 0, []
+        self.spaced, self.heads = _Memo(self._chunk), _Memo(self._places)
+
+    def learn(self, words: list[str]) -> None:
+        """Numbers for words that have none."""
+        new = list(dict.fromkeys(w for w in words if w not in self.number))
+        for w, p in zip(new, self.shared.find(new)):
+            if p < 0:
+                p = len(self.shared) + self.own
+                self.own += 1
+                self.fresh.append(w)
+            self.number[w] = p
 
     def _places(self, text: str) -> bytes:
-        out = []
-        for w in self.find(text):
-            k = self.number.get(w)
-            if k is None:
-                k = self.number[w] = len(self.number)
-                self.fresh.append(w)
-            out.append(k)
+        words, get = self.find(text), self.number.get
+        out = [get(w) for w in words]
+        if None in out:
+            self.learn(words)
+            out = [self.number[w] for w in words]
         return np.array(out, "<i4").tobytes()
 
-    def _spaced(self, chunk: str) -> bytes | None:
-        line = chunk[:1] == "\n"
-        first = chunk[line : line + 1]
-        # white space that could join the white space before it
-        if not first or first.isspace() or not first.isprintable():
-            return None
-        return self._places(chunk if line else " " + chunk)
+    def _chunk(self, chunk: str) -> bytes | None:
+        piece = _spaced(chunk)
+        return None if piece is None else self._places(piece)
+
+    def places(self, texts: list[str]) -> list[bytes]:
+        for memo in (self.spaced, self.heads):
+            if len(memo) > LIST_LIMIT:
+                memo.clear()
+        cut = [t.replace("\n", " \n").split(" ") for t in texts]
+        known, met = self.spaced, set()
+        for chunks in cut:
+            met.update(chunks[1:])
+        pieces = [p for c in met - known.keys() if (p := _spaced(c)) is not None]
+        self.learn([w for p in pieces for w in self.find(p)])
+        out = []
+        for t, (head, *chunks) in zip(texts, cut):
+            try:
+                out.append(self.heads[head] + b"".join(map(known.__getitem__, chunks)))
+            except TypeError:
+                out.append(self._places(t))
+        return out
 
-    def places(self, text: str) -> bytes:
-        head, *chunks = text.replace("\n", " \n").split(" ")
-        try:
-            return self.heads[head] + b"".join(map(self.spaced.__getitem__, chunks))
-        except TypeError:
-            return self._places(text)
 
+def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
+    """word and tasks: the distinct words of the texts, and how many lists of LIST_LIMIT chunks hold them."""
 
-class _Memo(dict):
-    def __init__(self, compute):
-        self.compute = compute
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
 
-    def __missing__(self, key):
-        value = self[key] = self.compute(key)
-        return value
+        find, chunks = regex.compile(pattern).findall, set()
 
+        def words() -> Iterator[pa.RecordBatch]:
+            held = {w for c in chunks if (p := _spaced(c)) is not None for w in find(p) if len(w) <= SHARED_BYTES}
+            chunks.clear()
+            rows = [w for w in held if len(w.encode()) <= SHARED_BYTES]
+            for k in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_pydict({"word": rows[k : k + 20_000]})
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                for t in b.column(0).slice(k, 64).to_pylist():
+                    chunks.update((t or "").replace("\n", " \n").split(" ")[1:])
+                if len(chunks) > 2 * LIST_LIMIT:
+                    yield from words()
+        yield from words()
+
+    return docs.select("text").mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("tasks"))
+
+
+def shared_words(docs: DataFrame, t: Tables, pattern: str, most: int = SHARED_WORDS) -> SharedWords:
+    """The words that most tasks hold, folded once: as many whole powers of two of task counts as `most` allows."""
+    scratch = Scratch(docs.sparkSession, "words")
+    words = scratch.write(distinct_words(docs, pattern).where("tasks > 1").select("word", "tasks", F.floor(F.log2("tasks")).cast("int").alias("power")), "words")
+    least, total = 64, 0
+    for r in sorted(words.groupBy("power").count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["power"]
+    taken = words.where(F.col("power") >= least).select("word", F.transform(F.array(F.encode("word", "UTF-8")), _bytes)[0].alias("bytes"))
+    folded = taken.select("word", t.bound(lambda own: fold_merges(F.col("bytes"), own)).alias("ids"))
+    rows = folded.select("word", "ids", decode_pieces(F.col("ids"), t).alias("piece")).toArrow()
+    ids = rows.column("ids").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    flat, ends = np.asarray(ids.flatten(), "<u4"), np.cumsum(np.asarray(pc.list_value_length(ids), np.int64))
+    cells = [flat[a:z].tobytes() for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    scratch.drop("words")
+    return SharedWords(list(zip(rows.column("word").to_pylist(), cells, rows.column("piece").to_pylist())))
+
+
+def _bytes(word: Column) -> Column:
+    """array<smallint> of a binary's bytes."""
+    return F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.conv(F.hex(F.substr(word, i, F.lit(1))), 16, 10).cast("smallint"))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, most_shared: int = SHARED_WORDS) -> DataFrame:
     """docs (doc_id, text) to doc_id, ids (little-endian uint32) and decoded (the bytes of the decoded ids)."""
+    t = Tables(ranks_path)
+    shared = docs.sparkSession.sparkContext.broadcast(shared_words(docs, t, pattern, most_shared))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, renewed = WordList(pattern), True
+        words, renewed = WordList(pattern, shared.value), True
         schema = pa.schema([("renew", pa.bool_()), ("words", pa.list_(pa.list_(pa.int16()))), ("long", pa.list_(pa.binary())), ("doc_id", pa.int64()), ("places", pa.binary())])
         for b in batches:
             for k in range(0, b.num_rows, 64):
-                if len(words.number) + len(words.spaced) > LIST_LIMIT * 3:
+                if words.own > LIST_LIMIT or len(words.number) > 3 * LIST_LIMIT:
                     words.start()
                     renewed = True
                 part = b.slice(k, 64)
-                places = [words.places(t or "") for t in part.column(1).to_pylist()]
+                places = words.places([t or "" for t in part.column(1).to_pylist()])
                 raw = [w.encode() for w in words.fresh]
                 words.fresh = []
                 # a long word leaves an empty byte array and stands in `long` at its turn
@@ -241,15 +369,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         return np.array(merge_long(word, ranks_path), "<u4").tobytes()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[bytes] = []
-        pieces: list[bytes] = []
+        (ids, pieces), n = shared.value.lists(), len(shared.value)
         by_rank: list[bytes] = []
         for b in batches:
             rows, held = [], 0
             for i in range(b.num_rows):
                 if b.column(1)[i].is_valid:
                     if b.column(0)[i].as_py():
-                        ids, pieces = [], []
+                        del ids[n:], pieces[n:]
                     cell = b.column(1)[i].values
                     flat = cell.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
                     at = (np.asarray(cell.offsets) - np.asarray(cell.offsets)[0]).tolist()
@@ -278,7 +405,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         doc, ids, text = zip(*rows)
         return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(ids, pa.binary()), pa.array(text, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    t = Tables(ranks_path)
     listed = docs.select("doc_id", "text").mapInArrow(split, "renew boolean, words array<array<smallint>>, long array<binary>, doc_id long, places binary")
     merged = listed.select("renew", t.bound(lambda own: F.transform("words", lambda w: fold_merges(w, own))).alias("ids"), "long", "doc_id", "places")
     pieces = F.transform("ids", lambda ids: decode_pieces(ids, t))

@@ -15,19 +15,30 @@ def library():
 
 def test_equals_the_library_and_decodes(spark, monkeypatch):
     rng = random.Random(8)
-    texts = ["", None, " ", "a", "  two  spaces ", "it's we'll 'tis I'd", "line\n\n next \n\tx", "a\n \nb\n", "naïve ß 中文 🙂 é", "x" * 700, "ab " * 900, "  a ", "a\x1c b"]
+    texts = ["", None, " ", "a", "  two  spaces ", "it's we'll 'tis I'd", "line\n\n next \n\tx", "a\n \nb\n", "naïve ß 中文 🙂 é", "x" * 700, "theraning" * 600, "ab " * 900, "  a ", "a\x1c b"]
     texts += ["".join(rng.choice("  \n\tabcdeTHE'ls1é.&中 ") for _ in range(60)) for _ in range(400)]
     rows = [(i, t, 0) for i, t in enumerate(texts)] + [(None, "no id", 0), (3, "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int").repartition(2)
     enc = library()
     want = sorted(((d if d is not None else -1, enc.encode_ordinary(t or ""), (t or "").encode()) for d, t, _ in rows), key=repr)
-    for limit in (byte_bpe.LIST_LIMIT, 60):
+    for limit, shared in ((byte_bpe.LIST_LIMIT, byte_bpe.SHARED_WORDS), (60, 40), (60, 0)):
         monkeypatch.setattr(byte_bpe, "LIST_LIMIT", limit)
-        out = byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN).collect()
+        out = byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN, shared).collect()
         assert sorted(((r.doc_id if r.doc_id is not None else -1, np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in out), key=repr) == want
     assert byte_bpe.encode(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_shared_words_are_the_widespread_ones(spark):
+    docs = spark.createDataFrame([(i, f"a common word and w{i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    tables = byte_bpe.Tables(PATH)
+    shared = byte_bpe.shared_words(docs, tables, public_tokenizers.PATTERN)
+    assert len(shared) >= 4 and min(shared.find([" common", " word", " and"])) >= 0 and shared.find([" w7"]) == [-1]
+    ids, pieces = shared.lists()
+    at = shared.find([" common"])[0]
+    assert np.frombuffer(ids[at], "<u4").tolist() == library().encode_ordinary(" common") and pieces[at] == b" common"
+    assert len(byte_bpe.shared_words(docs, tables, public_tokenizers.PATTERN, 0)) == 0
+
+
 def test_heap_merges_of_long_words():
     enc, rng = library(), random.Random(2)
     for _ in range(30):
