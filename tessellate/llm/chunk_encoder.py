@@ -2,10 +2,12 @@
 
 A space or line end that follows or precedes a visible character is always a pre-token boundary, so a
 text's ids are the concatenation of its chunks' ids. Chunks that are empty or begin with white space
-could join the white space before them; a text that has one is encoded whole. A chunk that is one word
+could join the white space before them; a text that has one, or that holds a special token's string, is
+encoded whole. A chunk that is one word
 of Latin-1 letters goes straight to the library's BPE model, a word with punctuation behind it is the
-word's ids and the punctuation's, and every other chunk is encoded by the whole tokenizer. A memo is
-emptied when it reaches its limit, so memory is bounded whatever the corpus; results never depend on it.
+word's ids and the punctuation's, and every other chunk is encoded by the whole tokenizer. A memo has a new
+and an old half: at half its limit the new one becomes the old one, and what is met again moves back, so
+memory is bounded whatever the corpus; results never depend on it.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ import re
 from array import array
 
 JOINING = "᠎​﻿"
-#: a word and punctuation behind it (no apostrophe, which can begin a pre-token of its own)
-PUNCTUATED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: a word and punctuation behind it (no apostrophe, which can begin a pre-token of its own; no letter whose lower case ends in a mark)
+PUNCTUATED = re.compile(r"([^\W\d_İ]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -30,12 +32,17 @@ LETTERS = _byte_letters()
 
 class Memo(dict):
     def __init__(self, compute):
-        self.compute = compute
+        self.compute, self.old = compute, {}
 
     def __missing__(self, chunk: str):
-        value = self[chunk] = self.compute(chunk)
+        value = self[chunk] = self.old[chunk] if chunk in self.old else self.compute(chunk)
         return value
 
+    def bound(self, limit: int) -> None:
+        if len(self) > limit // 2:
+            self.old = dict(self)
+            self.clear()
+
 
 class ChunkEncoder:
     def __init__(self, path: str, space_sticks: bool, limit: int = 600_000):
@@ -43,7 +50,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.folds = self.tokenizer.normalizer is not None  # the normalizer lower-cases
         self.sticks, self.limit = space_sticks, limit
@@ -81,11 +88,13 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for memo in (self.memo, self.heads, self.marks):
-            if len(memo) > self.limit:
-                memo.clear()
+            memo.bound(self.limit)
         out: list[bytes] = []
         get, line = self.memo.__getitem__, " \n" if self.sticks else " "
         for text in texts:
+            if any(special in text for special in self.specials):
+                out.append(self._whole(text))
+                continue
             chunks = text.replace("\n", line).split(" ")
             try:
                 out.append(self.heads[chunks.pop(0)] + b"".join(map(get, chunks)) if self.sticks else b"".join(map(get, chunks)))

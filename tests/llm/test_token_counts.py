@@ -11,7 +11,6 @@ PATH = public_tokenizers.path(token_counts.TOKENIZER)
 
 def whole(text):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     return len(tok.encode(text, add_special_tokens=False).ids)
 
 
