@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 
-SCALE, TOTAL, CONTEXT_BITS, WINDOW = 18, 24, 12, 16
+SCALE, TOTAL, CONTEXT_BITS, WINDOW = 14, 20, 12, 16
 LANES, BLOCK = 2048, 2048
 GROUP = LANES * BLOCK
 REFRESH = (128, 512)
@@ -41,15 +41,25 @@ def _frequencies(counts: np.ndarray | None, seen: int, sizes: np.ndarray) -> np.
     return out.reshape(-1)
 
 
+def _ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's keys in order (equal ones by place), and the places they came from as flat indexes."""
+    bits = int(keys.shape[1] - 1).bit_length()
+    kind = np.int32 if int(keys.max(initial=0)) >> (31 - bits) == 0 else np.int64
+    packed = (keys.astype(kind) << bits) | np.arange(keys.shape[1], dtype=kind)
+    packed.sort(axis=1)
+    at = (packed & ((1 << bits) - 1)) + (np.arange(len(keys)) * keys.shape[1])[:, None]
+    packed >>= bits
+    return packed, at
+
+
 def _last_after(context: np.ndarray, ids: np.ndarray, none: int) -> np.ndarray:
     """For each place of each row, the id at the last earlier place with the same context, or none."""
-    order = np.argsort(context.astype(np.uint16), axis=1, kind="stable")
-    c, x = np.take_along_axis(context, order, 1), np.take_along_axis(ids, order, 1)
+    keys, at = _ordered(context)
     found = np.full(ids.shape, none, np.int32)
-    found[:, 1:] = np.where(c[:, 1:] == c[:, :-1], x[:, :-1], none)
-    out = np.empty_like(found)
-    np.put_along_axis(out, order, found, 1)
-    return out
+    found[:, 1:] = np.where(keys[:, 1:] == keys[:, :-1], ids.take(at[:, :-1]), none)
+    out = np.empty(ids.size, np.int32)
+    out[at] = found
+    return out.reshape(ids.shape)
 
 
 def _weights(tally: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,20 +79,19 @@ def encode_group(ids: np.ndarray) -> bytes:
     lanes = -(-n // block)
     if not n:
         return HEADER.pack(b"IDG2", 0, block, 0, 0, 0)
-    x = np.zeros(lanes * block, np.int32)
-    listed, sizes = [], np.zeros(lanes, np.int64)
-    flags = np.zeros(int(ids.max()) + 1, bool)
-    places = np.zeros(len(flags), np.int32)
-    for k in range(lanes):
-        part = ids[k * block : (k + 1) * block]
-        flags[part] = True
-        known = np.flatnonzero(flags)
-        flags[known] = False
-        places[known] = np.arange(len(known), dtype=np.int32)
-        x[k * block : k * block + len(part)] = places[part]
-        listed.append(np.diff(known, prepend=0).astype("<u4").tobytes())
-        sizes[k] = len(known)
-    names = zlib.compress(b"".join(listed), 1)
+    # a short last lane repeats its last id, so its list stays the same
+    padded = np.concatenate([ids, np.full(lanes * block - n, ids[-1], ids.dtype)]).reshape(lanes, block)
+    known, at = _ordered(padded)
+    new = np.ones(known.shape, bool)
+    new[:, 1:] = known[:, 1:] != known[:, :-1]
+    place = np.cumsum(new, axis=1, dtype=np.int32)
+    x = np.empty(lanes * block, np.int32)
+    x[at] = place - 1
+    sizes = place[:, -1].astype(np.int64)
+    listed = np.diff(known[new].astype(np.int64), prepend=0)
+    listed[np.cumsum(sizes) - sizes] = known[:, 0]
+    names = zlib.compress(listed.astype("<u4").tobytes(), 1)
+    del padded, known, at, new, place, listed
     none = int(sizes.max())
     width = none + 2
     x = x.reshape(lanes, block)
@@ -95,14 +104,13 @@ def encode_group(ids: np.ndarray) -> bytes:
     del prev1, prev2
     state = (2 * (p2 < none) + (p1 == p2)).astype(np.int8)
     hit1, hit2 = p1 == x, p2 == x
-    gained = 1 + (hit1.astype(np.int64) << 16) + (hit2.astype(np.int64) << 32)
+    gained = 1.0 + hit1 * 65536.0 + hit2 * 4294967296.0
     windows = block // WINDOW
-    tally = np.zeros((lanes, windows, 4), np.int64)
-    for s in range(4):
-        sums = np.where(state == s, gained, 0).reshape(lanes, windows, WINDOW).sum(2)
-        tally[:, 1:, s] = np.cumsum(sums, axis=1)[:, :-1]
-    del gained
     cell = (np.arange(lanes * windows, dtype=np.int32) * 4).repeat(WINDOW).reshape(lanes, block) + state
+    sums = np.bincount(cell.reshape(-1), gained.reshape(-1), lanes * windows * 4).astype(np.int64).reshape(lanes, windows, 4)
+    tally = np.zeros_like(sums)
+    tally[:, 1:] = np.cumsum(sums, axis=1)[:, :-1]
+    del gained, sums
     a1, a2 = (w.reshape(-1).take(cell) for w in _weights(tally))
     del cell, tally, state
     a0 = 64 - a1 - a2
@@ -160,6 +168,13 @@ def encode_group(ids: np.ndarray) -> bytes:
     return HEADER.pack(b"IDG2", n, block, lanes, len(names), len(body)) + table.tobytes() + names + body
 
 
+def _places(table: np.ndarray, lanes: int) -> np.ndarray:
+    """For each order-0 value of each lane, the place whose range holds it."""
+    table = table.reshape(lanes, -1)
+    sizes = np.diff(table, axis=1, append=(np.arange(1, lanes + 1, dtype=np.int32) << SCALE)[:, None])
+    return np.repeat(np.tile(np.arange(table.shape[1], dtype=np.int16), lanes), sizes.reshape(-1))
+
+
 def decode_group(buf: memoryview, at: int = 0) -> tuple[np.ndarray, int]:
     """The ids of the group at a place, and the place after it. Raises ValueError for a damaged block."""
     magic, n, block, lanes, named, size = HEADER.unpack_from(buf, at)
@@ -188,19 +203,21 @@ def decode_group(buf: memoryview, at: int = 0) -> tuple[np.ndarray, int]:
     rng = np.full(lanes, 1 << 48, np.uint64)
     every = np.arange(lanes, dtype=np.int64)
     row, shift, slot, cells = every * width, every.astype(np.int32) << SCALE, every << CONTEXT_BITS, every * 4
-    after1, after2 = np.full(lanes * width, none, np.int32), np.full(lanes << CONTEXT_BITS, none, np.int32)
+    after1, after2 = np.full(lanes * width, none, np.int16), np.full(lanes << CONTEXT_BITS, none, np.int16)
     tally = np.zeros(lanes * 4, np.int64)
     x = np.full((block, lanes), none, np.int32)
     prev = np.full(lanes, none, np.int32)
     older = prev.astype(np.uint32) * K1
     short = n - (lanes - 1) * block
     f0 = _frequencies(None, 0, sizes)
+    order0 = _places(f0, lanes)
     counts, since = np.zeros(lanes * width, np.int64), 0
     most, sixteen = np.uint64((1 << TOTAL) - 1), np.uint64(16)
     for t in range(block):
         if t in REFRESH:
             counts += np.bincount((np.arange(lanes) * width + x[since:t]).reshape(-1), minlength=lanes * width)
             f0, since = _frequencies(counts, t, sizes), t
+            order0 = _places(f0, lanes)
         if t % WINDOW == 0:
             a1s, a2s = (w.reshape(-1) for w in _weights(tally.reshape(lanes, 4)))
         if t == short:
@@ -231,9 +248,10 @@ def decode_group(buf: memoryview, at: int = 0) -> tuple[np.ndarray, int]:
             off, base, mix = shift[k], row[k], a0[k]
             ahead = w1[k] * up1[k] + w2[k] * up2[k]
             u = (v[k] - ahead) // mix + off
-            at_ = np.searchsorted(f0, u, "right") - 1
+            place = order0.take(u)
+            at_ = base + place
             fx = f0.take(at_)
-            got[k] = at_ - base
+            got[k] = place
             cum[k] = mix * (fx - off) + ahead
             freq[k] = mix * (f0.take(at_ + 1) - fx)
         code -= r * cum.astype(np.uint64)

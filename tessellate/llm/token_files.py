@@ -1,9 +1,10 @@
 """Token-id files: adaptive context-mixing range coding in independently reset, checksummed blocks.
 
-Documents are range-partitioned and sorted by doc_id; each partition becomes one file in the shared
-folder: coded groups of blocks (see range_codec), then an index of doc ids and lengths. A task writes
-under a name of its own attempt and reports it in a committed table, so a repeated task never mixes
-with a lost one's file. Reading goes through Spark's binaryFile source.
+Documents are range-partitioned and sorted by doc_id; each partition becomes one or more files in the shared
+folder: coded groups of blocks (see range_codec), then an index of doc ids and lengths. A file ends with the
+document that brings its ids to ROLL_IDS (a longer document has a file of its own), since Spark's binaryFile
+source, which reads them, holds a file in memory. A task writes under a name of its own attempt and reports
+it in a committed table, so a repeated task never mixes with a lost one's file.
 
 Defined results: null or empty text is the end id alone; rows of equal doc_id stay apart and are ordered
 by text; a null doc_id comes first and stays null; an empty table writes and reads no files; other input
@@ -16,6 +17,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,12 @@ from .chunk_encoder import encoder
 from .common import materialize, open_output, read_table, shared_dir
 from .range_codec import GROUP, decode_group, encode_group
 
-TOKENIZER, END_ID, MEMO = "word_bpe_49k.json", 1, 1_200_000
+TOKENIZER, END_ID, MEMO, ROLL_IDS = "word_bpe_49k.json", 1, 1_200_000, 1 << 26
 MAGIC, TAIL = b"IDFILE1\n", struct.Struct("<QQI8s")
 
 
-def write_file(uri: str, docs: Iterator[tuple[int | None, bytes]]) -> tuple[int, int]:
-    """docs: (doc_id, ids as little-endian uint32). Returns the counts of documents and ids."""
+def write_file(uri: str, docs: Iterator[tuple[int | None, bytes]], roll: int = ROLL_IDS) -> tuple[int, int]:
+    """docs: (doc_id, ids as little-endian uint32), taken until `roll` ids are reached. Returns the counts of documents and ids."""
     doc_ids, sizes, waiting, held, total = [], [], [], 0, 0
     with open_output(uri) as out:
         out.write(MAGIC)
@@ -58,6 +60,8 @@ def write_file(uri: str, docs: Iterator[tuple[int | None, bytes]]) -> tuple[int,
             held += len(ids)
             if held >= 4 * GROUP:
                 flush(False)
+            if total >= roll:
+                break
         flush(True)
         nulls = np.array([d is None for d in doc_ids], bool)
         keys = np.array([d or 0 for d in doc_ids], "<i8")
@@ -88,8 +92,8 @@ def read_file(content: bytes) -> Iterator[tuple[int | None, int, bytes]]:
         start += size
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, space_sticks: bool = False) -> DataFrame:
-    """Writes docs (doc_id, text); returns one row a file: part, file, n_docs, n_ids, in doc_id order by part."""
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, space_sticks: bool = False, roll: int = ROLL_IDS) -> DataFrame:
+    """Writes docs (doc_id, text); returns one row a file: part, nth, file, n_docs, n_ids, in doc_id order by part and nth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(tokenizer_path, space_sticks, MEMO), np.array([end_id], "<u4").tobytes()
@@ -101,13 +105,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                     for doc_id, ids in zip(batch.column(0).slice(k, 512).to_pylist(), enc.encode(texts)):
                         yield doc_id, ids + tail
 
-        part = TaskContext.get().partitionId()
-        file = f"part-{part:06d}-{uuid.uuid4().hex}.ids"
-        n_docs, n_ids = write_file(f"{folder}/{file}", rows())
-        yield pa.RecordBatch.from_pydict({"part": [part], "file": [file], "n_docs": [n_docs], "n_ids": [n_ids]})
+        part, left, nth = TaskContext.get().partitionId(), rows(), 0
+        for first in left:
+            file = f"part-{part:06d}-{nth:04d}-{uuid.uuid4().hex}.ids"
+            n_docs, n_ids = write_file(f"{folder}/{file}", chain([first], left), roll)
+            yield pa.RecordBatch.from_pydict({"part": [part], "nth": [nth], "file": [file], "n_docs": [n_docs], "n_ids": [n_ids]})
+            nth += 1
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(run, "part long, file string, n_docs long, n_ids long"), "token-index")
+    # the beginning of the text lets the rows of one doc_id (null, for one) lie in several partitions
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 24)).sortWithinPartitions("doc_id", "text")
+    return materialize(ordered.mapInArrow(run, "part long, nth long, file string, n_docs long, n_ids long"), "token-index")
 
 
 def read_token_files(spark: SparkSession, folder: str, written: DataFrame) -> DataFrame:
@@ -134,7 +141,7 @@ def read_token_files(spark: SparkSession, folder: str, written: DataFrame) -> Da
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     rows = files.mapInArrow(run, "file string, doc_id long, at long, ids binary")
     # one row a file
-    base = written.select("file", (F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids")).alias("base"))
+    base = written.select("file", (F.sum("n_ids").over(Window.orderBy("part", "nth")) - F.col("n_ids")).alias("base"))
     return rows.join(base, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "ids")
 
 

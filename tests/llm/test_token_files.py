@@ -28,10 +28,11 @@ def test_written_and_read_again(spark, tmp_path):
     rows = [(i * 3 - 4, t) for i, t in enumerate(texts)] + [(2, "again"), (None, "no id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     folder = f"file://{tmp_path}/ids"
-    written = token_files.write_token_files(docs, folder, public_tokenizers.path(token_files.TOKENIZER))
+    written = token_files.write_token_files(docs, folder, public_tokenizers.path(token_files.TOKENIZER), roll=8)
+    files = written.collect()
+    assert len(files) > 3 and all(r.n_docs == 1 or r.n_ids < 8 + 9000 for r in files) and sum(r.n_docs for r in files) == len(rows)
     got = sorted(((r.start, r.doc_id, bytes(r.ids)) for r in token_files.read_token_files(spark, folder, written).collect()))
     tok = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
-    tok.encode_special_tokens = True
     want, at = [], 0
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
