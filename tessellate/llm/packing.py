@@ -1,17 +1,23 @@
 """Best-fit packing in bulk-synchronous supersteps.
 
 Documents become pieces of at most `capacity` tokens (only longer documents are cut, the first piece
-takes the remainder). The pieces are range-sorted by length over the cluster, which gives each its
-global rank. Lengths and gaps are integers up to `capacity`, so the sorted pieces and the sorted open
-sequences are at most `capacity` runs of equal size each; a superstep sweeps the runs of pieces against
-the runs of gaps: every piece run bids for its successor (the smallest gap that holds it), conflicts
-for one gap go by rank (longer pieces first), the gaps are updated, and the losers bid again. Fresh
-sequences are opened only when no open gap holds any piece left, and never more than the rest's lower
-bound. The run table does not depend on the number of documents; every row finds its sequence and
-offset from its rank in one distributed pass.
+takes the remainder). Pieces of more than half the capacity each open a sequence. Then supersteps over two
+distributed tables, the pieces left and the gaps of open sequences:
+
+1. Gaps and pieces are range-sorted together by size over the cluster, pieces before gaps of their size. A gap
+   that holds several of the largest pieces left stands as so many equal slots.
+2. Successor sweep: each range is swept upwards, and a slot takes the largest piece below it that no other slot
+   has taken. What a range can't match is counted, and these counts (a row a range) say which later range's
+   slots take the pieces of which earlier one; conflicts for a piece or a slot go by rank.
+3. The pieces' lengths are taken off the gaps, and the next superstep begins.
+
+Fresh sequences, as many as the rest's lower bound, are opened when a superstep placed less than one in a
+hundred of the pieces left. Each superstep about halves what is left, so their number grows with its logarithm.
+At the end, a piece's offset is the sum of the lengths placed before it in its sequence.
 
 Defined results: null or empty text is the end id alone (a piece of length 1); repeated rows are packed
-one by one; null ids are kept; an empty table gives an empty result; other input columns are ignored.
+one by one; null ids are kept; an empty table gives an empty result; other input columns are ignored, and
+pack() keeps those of its pieces (columns named sequence_id or offset are replaced).
 """
 
 from __future__ import annotations
@@ -22,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from .chunk_encoder import encoder
-from .common import materialize, read_table
+from .common import Scratch, read_table
 
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "byte_bpe_50k.json"
 
@@ -53,99 +60,142 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def plan_runs(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Supersteps over runs. counts[l]: pieces of length l, ranked by length from 0.
-
-    Rows of the result: first rank, pieces per sequence, first sequence, offset, length."""
-    left = counts.astype(np.int64).copy()
-    rank = np.concatenate([[0], np.cumsum(left)])[:-1]
-    runs: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[list[int]]] = {}  # gap -> runs [first sequence, sequences]
-    opened = 0
-    lengths = np.arange(len(left))
-
-    def give(length: int, gap: int, seqs: list[list[int]], after: dict[int, list[list[int]]]) -> None:
-        """Pieces of one length bid for the sequences of one gap, by rank; seqs keeps what they leave."""
-        each = gap // length
-        while left[length] and seqs:
-            first, n = seqs[-1]
-            whole = min(n, int(left[length]) // each)
-            take, per = (whole, each) if whole else (1, int(left[length]))
-            runs.append((int(rank[length]), per, first, capacity - gap, length))
-            rank[length] += take * per
-            left[length] -= take * per
-            after.setdefault(gap - per * length, []).append([first, take])
-            seqs[-1] = [first + take, n - take]
-            if not seqs[-1][1]:
-                seqs.pop()
-
-    while left.any():
-        sizes = np.array(sorted(g for g in gaps if g), np.int64)
-        bidders = lengths[left > 0][::-1]
-        place = np.searchsorted(sizes, bidders)
-        after: dict[int, list[list[int]]] = {}
-        if not (place < len(sizes)).any():
-            fresh = max(-(-int((left * lengths).sum()) // capacity), int(left[capacity // 2 + 1 :].sum()))
-            gaps.setdefault(capacity, []).append([opened, fresh])
-            opened += fresh
-            continue
-        for length, at in zip(bidders.tolist(), place.tolist()):
-            if at < len(sizes):
-                gap = int(sizes[at])
-                give(length, gap, gaps[gap], after)
-        for gap, seqs in after.items():
-            gaps.setdefault(gap, []).extend(seqs)
-        gaps = {g: s for g, s in gaps.items() if s and g}
-    return np.array(sorted(runs), np.int64).reshape(-1, 5)
+def sweep(rows: DataFrame) -> DataFrame:
+    """Range-sorted rows (size, owner, slot; slot null for pieces) to (part, nth, owner, size, seq, slot).
 
+    Matched pieces have a seq and a slot; of the rest, nth counts a part's pieces (seq and slot null) and slots
+    (owner and size null) from 0 in the order of size."""
+    names = ["part", "nth", "owner", "size", "seq", "slot"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces that have a `length` from 1 to capacity."""
-    spark = pieces.sparkSession
-    keys = [c for c in ("length", "doc_id", "piece", "start") if c in pieces.columns]
-    fields = pieces.schema.fields
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, waiting, unmet = TaskContext.get().partitionId(), [], 0
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row = TaskContext.get().partitionId(), 0
         for b in batches:
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n))], [*b.schema.names, "_part", "_row"])
-            row += n
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    ordered = pieces.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ranked = materialize(ordered.mapInArrow(number, f"{schema}, _part int, _row long"), "ranked")
-    # at most one row per partition and length border: partitions + capacity rows
-    sizes = ranked.groupBy("_part", "length").count().collect()
-    counts, per_part = np.zeros(capacity + 1, np.int64), {}
-    for r in sizes:
-        counts[r["length"]] += r["count"]
-        per_part[r["_part"]] = per_part.get(r["_part"], 0) + r["count"]
-    base, total = {}, 0
-    for p in sorted(per_part):
-        base[p], total = total, total + per_part[p]
-    plan = spark.sparkContext.broadcast((base, plan_runs(counts, capacity)))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, runs = plan.value
+            met = []
+            for size, owner, slot in zip(*(c.to_pylist() for c in b.columns)):
+                if slot is None:
+                    waiting.append((owner, size))
+                elif waiting:
+                    met.append((part, None, *waiting.pop(), owner, slot))
+                else:
+                    met.append((part, unmet, None, None, owner, slot))
+                    unmet += 1
+            if met:
+                yield out(met)
+        for k in range(0, len(waiting), 50_000):
+            yield out([(part, k + i, *piece, None, None) for i, piece in enumerate(waiting[k : k + 50_000])])
+
+    ordered = rows.repartitionByRange("size", F.col("slot").isNotNull(), "owner", "slot").sortWithinPartitions("size", F.col("slot").isNotNull(), "owner", "slot")
+    return ordered.select("size", "owner", "slot").mapInArrow(run, "part int, nth long, owner long, size int, seq long, slot int")
+
+
+def carried(rest: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Parts' unmatched slots and pieces, in order (part, slots, pieces), to runs (slot part, first slot, piece part, last piece, length).
+
+    A part's slots stand below its pieces, so they take pieces of earlier parts, the nearest ones first."""
+    piles: list[list[int]] = []
+    runs = []
+    for part, slots, pieces in sorted(rest):
+        at = 0
+        while at < slots and piles:
+            below, n = piles.pop()
+            take = min(n, slots - at)
+            runs.append((part, at, below, n - 1, take))
+            at += take
+            if n > take:
+                piles.append([below, n - take])
+        if pieces:
+            piles.append([part, pieces])
+    return runs
+
+
+def joined_ranges(swept: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> tuple[DataFrame, DataFrame]:
+    """What sweep() left: pieces (owner, size, pair) and slots (seq, slot, pair); pair is null without a mate."""
+    base = np.cumsum([0, *[r[4] for r in runs]])
+    by_slot: dict[int, list[tuple[int, int, int, int]]] = {}
+    by_piece: dict[int, list[tuple[int, int, int, int]]] = {}
+    for (slot_part, first, piece_part, last, n), at in zip(runs, base.tolist()):
+        by_slot.setdefault(slot_part, []).append((first, n, at, 1))
+        by_piece.setdefault(piece_part, []).append((last - n + 1, n, at + n - 1, -1))
+    # at most two runs a part
+    shared = swept.sparkSession.sparkContext.broadcast([{p: np.array(sorted(r), np.int64) for p, r in d.items()} for d in (by_slot, by_piece)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            part = b.column(b.schema.get_field_index("_part")).to_numpy()
-            rank = b.column(b.schema.get_field_index("_row")).to_numpy() + np.array([starts[p] for p in part.tolist()])
-            run = runs[np.searchsorted(runs[:, 0], rank, "right") - 1]
-            seq, nth = np.divmod(rank - run[:, 0], run[:, 1])
-            out = [b.column(i) for i, f in enumerate(b.schema.names) if f not in ("_part", "_row")]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(run[:, 2] + seq), pa.array(run[:, 3] + nth * run[:, 4])], [f.name for f in fields] + ["sequence_id", "offset"])
+            parts, nth, piece = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            pair = np.full(b.num_rows, -1, np.int64)
+            for kind in (0, 1):
+                for p in np.unique(parts[piece == bool(kind)]).tolist():
+                    table = tables[kind].get(p)
+                    if table is None:
+                        continue
+                    at = np.flatnonzero((parts == p) & (piece == bool(kind)))
+                    row = table[np.maximum(np.searchsorted(table[:, 0], nth[at], "right") - 1, 0)]
+                    off = nth[at] - row[:, 0]
+                    pair[at] = np.where((off >= 0) & (off < row[:, 1]), row[:, 2] + off * row[:, 3], -1)
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(pair, mask=pair < 0)], ["owner", "size", "seq", "slot", "pair"])
+
+    rest = swept.where("nth IS NOT NULL").mapInArrow(run, "owner long, size int, seq long, slot int, pair long")
+    return rest.where("owner IS NOT NULL").select("owner", "size", "pair"), rest.where("owner IS NULL").select("seq", "slot", "pair")
+
 
-    return ranked.mapInArrow(assign, f"{schema}, sequence_id long, offset long")
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Adds sequence_id and offset to pieces that have a `length` from 1 to capacity."""
+    spark, scratch = pieces.sparkSession, Scratch(pieces.sparkSession, "packing")
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("piece")
+    held = scratch.write(pieces.select(F.monotonically_increasing_id().alias("owner"), F.col("length").cast("int").alias("size"), row), "pieces")
+    large = F.col("size") > capacity // 2
+    placed = [held.where(large).select("owner", "size", F.col("owner").alias("seq"), F.lit(0).alias("turn"), F.lit(0).alias("slot"))]
+    left = held.where(~large).select("owner", "size")
+    gaps = held.where(large).select(F.col("owner").alias("seq"), (capacity - F.col("size")).alias("gap")).where("gap > 0")
+    opened, turn, stalled = 0, 0, False
+    while True:
+        sizes = left.select(F.lit(0).alias("kind"), "size").unionByName(gaps.select(F.lit(1).alias("kind"), F.col("gap").alias("size")))
+        seen = {r["kind"]: r for r in sizes.groupBy("kind").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.sum("size").alias("total")).collect()}
+        if 0 not in seen:
+            break
+        now, free = seen[0], seen[1]["n"] if 1 in seen and seen[1]["most"] >= seen[0]["least"] else 0
+        if stalled or not free:
+            fresh = -(-now["total"] // capacity)
+            gaps = gaps.unionByName(spark.range(-opened - fresh, -opened).select(F.col("id").alias("seq"), F.lit(capacity).alias("gap")))
+            opened, free = opened + fresh, free + fresh
+        turn += 1
+        # about as many slots as pieces, however small those are
+        most = F.least(F.floor(F.col("gap") / now["most"]), F.lit(-(-2 * now["n"] // free)))
+        slots = gaps.where(F.col("gap") >= now["least"]).withColumn("n", F.greatest(F.lit(1), most).cast("int"))
+        slots = slots.select(F.floor(F.col("gap") / F.col("n")).cast("int").alias("size"), F.col("seq").alias("owner"), F.explode(F.sequence(F.lit(1), "n")).alias("slot"))
+        swept = scratch.write(sweep(slots.unionByName(left.select("size", "owner", F.lit(None).cast("int").alias("slot")))), "swept")
+        rest = swept.groupBy("part").agg(F.count(F.when(F.col("owner").isNull(), 1)).alias("slots"), F.count(F.when(F.col("seq").isNull(), 1)).alias("pieces")).collect()
+        waiting, open_slots = joined_ranges(swept, carried([(r["part"], r["slots"], r["pieces"]) for r in rest]))
+        mates = waiting.where("pair IS NOT NULL").join(open_slots.where("pair IS NOT NULL"), "pair").select("owner", "size", "seq", "slot")
+        met = swept.where("nth IS NULL").select("owner", "size", "seq", "slot").unionByName(mates)
+        met = scratch.write(met.select("owner", "size", "seq", F.lit(turn).alias("turn"), "slot"), f"placed-{turn}")
+        placed.append(met)
+        used = met.groupBy("seq").agg(F.sum("size").alias("used"))
+        rest_gaps = gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).cast("int").alias("gap")).where(F.col("gap") >= now["least"])
+        gaps = scratch.write(rest_gaps, "gaps")
+        left = scratch.write(waiting.where("pair IS NULL").select("owner", "size"), "left")
+        stalled = met.count() * 100 < now["n"]
+    scratch.drop("swept", "gaps", "left")
+    every = placed[0]
+    for more in placed[1:]:
+        every = every.unionByName(more)
+    before = Window.partitionBy("seq").orderBy("turn", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.select("owner", "seq", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("at"))
+    return held.join(every, "owner").select("piece.*", F.col("seq").alias("sequence_id"), F.col("at").alias("offset"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return pack(materialize(token_pieces(docs, public_tokenizers.path(TOKENIZER)), "pieces"))
+    return pack(token_pieces(docs, public_tokenizers.path(TOKENIZER)))
 
 
 QUERIES = {"op8_best_fit_packing": op8_best_fit_packing}
