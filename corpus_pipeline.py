@@ -6,16 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessellate.llm import near_dedup, packing, quality_rules, toxicity
-from tessellate.llm.common import materialize, read_table
+from tessellate.llm.common import Scratch, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled documents at hand, does not call toxic."""
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    names = [f.name for f in docs.schema.fields if f.name != "text"]
-    keep = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    scored = toxicity.score(docs, model, keep, with_text=True)
-    return scored.where("predicted = 0").select(*[c for c in docs.columns if c in names or c == "text"])
+    return toxicity.filter_documents(docs, model)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +24,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(docs.select("doc_id", "text"), public_tokenizers.path(packing.TOKENIZER))
-    return packing.pack(materialize(pieces, "pieces"))
+    return packing.pack(packing.token_pieces(docs.select("doc_id", "text"), public_tokenizers.path(packing.TOKENIZER)))
 
 
 STAGES = [
@@ -42,7 +38,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages in turn; a stage's table is deleted once the next one's is written."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for name, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.keep_only(name)
+    return docs
