@@ -1,13 +1,15 @@
 """Exact top-k search: tiled matrix products, partial selection in each tile, tree merging of the lists.
 
-Vectors are dealt into shards of bounded size; a shard's own queries make its query tile. Every pair of a
-shard and a group of query tiles is one task: matrix products over sub-tiles, the best k of each query by
-partial selection, and then the lists of a query are merged over groups of shards, level by level.
+Vectors are dealt into shards of bounded size, their components packed in as few bytes as hold them; a shard's
+own queries make its query tile. Each task has one shard and a group of query tiles: matrix products over
+sub-tiles, the best k of each query by partial selection. Then the lists of a query are merged over groups of
+shards, level by level. With large groups of query tiles, mostly queries move, which are a small share of the rows.
 
 Defined results: components become floor(scale * x); vectors that are null or hold null or non-finite
 components, and rows without an id, take no part; only vectors of equal length meet; ties go to the
 smaller id; repeated ids are rows of their own (a query leaves out its own row only); an empty table gives
-an empty result; other columns are ignored. Products are exact up to 64-bit integers.
+an empty result; other columns are ignored. Products are exact whatever the components; a score that is
+returned and doesn't fit 64 bits raises OverflowError.
 """
 
 from __future__ import annotations
@@ -23,12 +25,18 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read_table
 
-SHARD, QUERY_TILES, FAN_IN, SUB_TILE = 16_384, 8, 16, 256
+SHARD, QUERY_TILES, FAN_IN, SUB_TILE = 16_384, 128, 16, 256
 
 
-def shards(vectors: DataFrame, query_every: int, scale: int, shard_rows: int) -> DataFrame:
-    """Rows (shard, dim, ids, is_query, matrix): int64 ids, flags and row-major int64 components, by id."""
-    n = max(1, -(-vectors.count() // shard_rows))
+def packed(matrix: np.ndarray) -> tuple[str, bytes]:
+    """The smallest kind of number that holds integers given as doubles (which hold them all), and the cells in it."""
+    most = np.abs(matrix).max(initial=0)
+    kind = "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<f8"
+    return kind, matrix.astype(kind).tobytes()
+
+
+def shards(vectors: DataFrame, query_every: int, scale: int, parts: int, shard_rows: int) -> DataFrame:
+    """Rows (shard, number, dim, kind, ids, is_query, matrix) by id; number is the part, from 0 to parts - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list[tuple[int, np.ndarray]]] = {}
@@ -38,40 +46,43 @@ def shards(vectors: DataFrame, query_every: int, scale: int, shard_rows: int) ->
             nonlocal made
             rows = sorted(waiting.pop(dim), key=lambda r: r[0])
             ids = np.array([r[0] for r in rows], np.int64)
-            matrix = np.clip(np.floor(scale * np.array([r[1] for r in rows], np.float64).reshape(len(rows), dim)), -(2.0**62), 2.0**62).astype(np.int64)
+            kind, cells = packed(np.floor(scale * np.array([r[1] for r in rows], np.float64).reshape(len(rows), dim)))
             made += 1
-            return pa.RecordBatch.from_pydict({"shard": [(part << 32) | made], "dim": [dim], "ids": [ids.tobytes()], "is_query": [(ids % query_every == 0).tobytes()], "matrix": [matrix.tobytes()]})
+            return pa.RecordBatch.from_pydict({"shard": [(part << 32) | made], "number": [part], "dim": [dim], "kind": [kind], "ids": [ids.tobytes()], "is_query": [(ids % query_every == 0).tobytes()], "matrix": [cells]})
 
         for b in batches:
             for vec_id, v in zip(b.column(0).to_pylist(), b.column(1)):
                 if vec_id is None or not v.is_valid or v.values.null_count:
                     continue
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if not np.isfinite(x).all():
+                if not np.isfinite(scale * x).all():
                     continue
                 waiting.setdefault(len(x), []).append((vec_id, x))
-                if len(waiting[len(x)]) >= shard_rows:
+                if len(waiting[len(x)]) >= 2 * shard_rows:
                     yield tile(len(x))
         for dim in list(waiting):
             yield tile(dim)
 
-    return vectors.repartition(n).mapInArrow(run, "shard long, dim long, ids binary, is_query binary, matrix binary")
+    return vectors.repartition(parts).mapInArrow(run, "shard long, number long, dim long, kind string, ids binary, is_query binary, matrix binary")
 
 
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products, in floating point where every partial sum fits its mantissa."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    """Exact integer inner products, in floating point where every partial sum fits its mantissa, else in whole numbers."""
+    bound = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(c.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
     for kind, bits in ((np.float32, 24), (np.float64, 53)):
         if bound < 2**bits:
             return (q.astype(kind) @ c.astype(kind).T).astype(np.int64)
-    return q @ c.T
+    if bound < 2**62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    return whole(q) @ whole(c).T
 
 
 def best(scores: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k highest scores of each row, ties to the smaller column; in order."""
     n = scores.shape[1]
     k = min(k, n)
-    if np.abs(scores).max(initial=0) < 2**62 // max(1, n):
+    if scores.dtype == np.int64 and np.abs(scores).max(initial=0) < 2**62 // max(1, n):
         keys = scores * n + np.arange(n - 1, -1, -1)
         at = np.argpartition(keys, n - k, axis=1)[:, n - k :] if k < n else np.tile(np.arange(n), (len(keys), 1))
         order = np.argsort(-np.take_along_axis(keys, at, 1), axis=1)
@@ -81,17 +92,11 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
 
 def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, shard_rows: int = SHARD) -> DataFrame:
     """vectors (vec_id, embedding) to (query_id, rank, vec_id, score)."""
-    dealt = materialize(shards(vectors.select("vec_id", "embedding"), query_every, scale, shard_rows), "shards")
-    # a number for each shard: one row a tile of thousands of vectors
-    names = [r[0] for r in dealt.select("shard").orderBy("shard").collect()]
-    number = dict(zip(names, range(len(names))))
-    groups = range(-(-len(names) // QUERY_TILES))
-    spark = vectors.sparkSession
-    if not names:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    numbers = spark.createDataFrame(list(number.items()), "shard long, number int")
-    tiles = dealt.join(numbers, "shard")
-    left = tiles.select("number", "dim", "ids", "matrix", F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1))).alias("group"))
+    rows = vectors.select("vec_id", "embedding")
+    parts = max(1, -(-rows.count() // shard_rows))
+    groups = -(-parts // QUERY_TILES)
+    tiles = materialize(shards(rows, query_every, scale, parts, shard_rows), "shards")
+    left = tiles.select("shard", "number", "dim", "kind", "ids", "matrix", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
 
     def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,22 +104,22 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
                 ids, flags = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["is_query"], bool)
                 at = np.flatnonzero(flags)
                 if len(at):
-                    m = np.frombuffer(row["matrix"], np.int64).reshape(len(ids), row["dim"])
-                    yield pa.RecordBatch.from_pydict({"home": [int(row["number"])], "dim": [row["dim"]], "places": [at.tobytes()], "ids": [ids[at].tobytes()], "matrix": [m[at].tobytes()]})
+                    m = np.frombuffer(row["matrix"], row["kind"]).reshape(len(ids), row["dim"])
+                    yield pa.RecordBatch.from_pydict({"home": [row["shard"]], "group": [row["number"] // QUERY_TILES], "dim": [row["dim"]], "kind": [row["kind"]], "places": [at.tobytes()], "ids": [ids[at].tobytes()], "matrix": [m[at].tobytes()]})
 
-    asked = tiles.mapInArrow(queries, "home long, dim long, places binary, ids binary, matrix binary")
-    right = asked.select("*", (F.col("home") / QUERY_TILES).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("number"))
+    asked = tiles.mapInArrow(queries, "home long, group long, dim long, kind string, places binary, ids binary, matrix binary")
+    right = asked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("number"))
 
     def search(key: tuple, shard: pd.DataFrame, tiles: pd.DataFrame) -> pd.DataFrame:
         out = []
         for s in shard.itertuples():
             ids = np.frombuffer(s.ids, np.int64)
-            c = np.frombuffer(s.matrix, np.int64).reshape(len(ids), s.dim)
+            c = np.frombuffer(s.matrix, s.kind).reshape(len(ids), s.dim)
             for t in tiles[tiles["dim"] == s.dim].itertuples():
                 q_ids, places = np.frombuffer(t.ids, np.int64), np.frombuffer(t.places, np.int64)
-                q = np.frombuffer(t.matrix, np.int64).reshape(len(q_ids), s.dim)
+                q = np.frombuffer(t.matrix, t.kind).reshape(len(q_ids), s.dim)
                 for a in range(0, len(q_ids), SUB_TILE):
-                    own = t.home == s.number
+                    own = t.home == s.shard
                     scores = _product(q[a : a + SUB_TILE], c)
                     found = best(scores, k + own)
                     rows = np.repeat(np.arange(len(found)), found.shape[1])
@@ -122,17 +127,17 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
                     if own:
                         other = cols != places[a + rows]
                         rows, cols = rows[other], cols[other]
-                    out.append(pd.DataFrame({"home": t.home, "place": places[a + rows], "query_id": q_ids[a + rows], "vec_id": ids[cols], "score": scores[rows, cols]}))
+                    out.append(pd.DataFrame({"home": t.home, "place": places[a + rows], "query_id": q_ids[a + rows], "vec_id": ids[cols], "score": scores[rows, cols].astype(np.int64)}))
         found = pd.concat(out) if out else pd.DataFrame({n: [] for n in ("home", "place", "query_id", "vec_id", "score")})
         return found.assign(number=key[0])
 
     keys = ["number", "group"]
     lists = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(search, "home long, place long, query_id long, vec_id long, score long, number long")
-    width = len(names)
+    width = parts
     query = ["home", "place", "query_id"]
     while True:
         width = -(-width // FAN_IN)
-        lists = lists.withColumn("number", (F.col("number") / FAN_IN).cast("int"))
+        lists = lists.withColumn("number", F.floor(F.col("number") / FAN_IN).cast("long"))
         ranked = Window.partitionBy(*query, "number").orderBy(F.desc("score"), "vec_id")
         lists = lists.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
         if width == 1:
