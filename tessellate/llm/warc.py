@@ -26,17 +26,24 @@ from pyspark.sql import functions as F
 from .common import materialize, open_output, read_table, shared_dir
 
 MIN_REVISIT, DICTIONARY_BYTES, SAMPLE_BYTES, ROLL_BYTES = 100, 32_768, 1 << 20, 128 << 20
+SHARES = 32
 SKIPPABLE, ZSTD_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 
 
 def with_roles(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html, payload_digest, refers_to (null for responses)."""
+    """page_id, url, html, payload_digest, refers_to (null for responses).
+
+    The roles come from ids and digests alone; bodies move once, by page, so pages that share a payload stay spread."""
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", body.alias("html"), F.sha2(body.cast("binary"), 256).alias("payload_digest"))
-    long = rows.where(F.octet_length("html") >= min_revisit)
-    first = long.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(first, "payload_digest", "left")
-    return joined.select("page_id", "url", "html", "payload_digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    long = rows.where(F.octet_length("html") >= min_revisit).select("page_id", "payload_digest")
+    first = long.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    # a payload's pages are dealt to shares, so that a common one doesn't meet in one task
+    dealt = first.select("payload_digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    met = long.withColumn("share", F.pmod(F.xxhash64("page_id"), F.lit(SHARES)).cast("int")).join(dealt, ["payload_digest", "share"])
+    revisits = met.where(~F.col("refers_to").eqNullSafe(F.col("page_id"))).select(F.col("page_id").alias("of"), F.col("payload_digest").alias("same"), "refers_to").distinct()
+    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("payload_digest") == F.col("same")), "left")
+    return joined.select("page_id", "url", "html", "payload_digest", "refers_to")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
