@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -83,3 +83,16 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+def smallest(rows: DataFrame, label: str, counts: dict, each: int) -> DataFrame:
+    """The `each` rows (doc_id, label) of each label whose doc_id has the smallest hash.
+
+    A draw of about four times as many comes first, so that the ranking sees a bounded number of rows."""
+    dice = F.col("hash") / F.lit(2.0**64) + 0.5
+    take = F.lit(False)
+    for name, n in counts.items():
+        take |= (F.col(label) == name) & (dice < F.lit(min(1.0, (4.0 * each + 100) / n)))
+    ranked = Window.partitionBy(label).orderBy("hash", "doc_id")
+    drawn = rows.select("doc_id", label, F.xxhash64("doc_id", F.lit(23)).alias("hash")).where(take)
+    return drawn.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= each).select("doc_id", label)

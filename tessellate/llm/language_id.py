@@ -8,7 +8,7 @@ document is scored on the executors.
 
 Defined results: null text or text without a letter gives `und` with score 0; a null doc_id is not held
 out and not learned from; without labelled documents all is `und`; with one language all other texts get
-it; repeated rows are scored one by one; an empty table gives an empty result; lang, source and doc_id are
+it; of rows with one doc_id and language one is learned from; repeated rows are scored one by one; an empty table gives an empty result; lang, source and doc_id are
 never features.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, smallest
 from .grams import buffer, hashes, table
 
 BITS, SAMPLE_DOCS, EPOCHS, COST = 12, 6000, 12, 4.0
@@ -129,10 +129,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model | None:
     if not counts:
         return None
     each = max(1, sample // len(counts))
-    dice = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000))
-    take = F.lit(False)
-    for lang, n in counts.items():
-        take |= (F.col("lang") == lang) & (dice < F.lit(int(min(1.0, 1.2 * each / n + 1e-6) * 1_000_000)))
+    few = F.broadcast(smallest(docs.select("doc_id", "lang").distinct(), "lang", counts, each))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,7 +139,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model | None:
                 rows = [(np.flatnonzero(r).astype("<u2"), r) for r in x]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([i.tobytes() for i, _ in rows]), pa.array([r[i].tobytes() for i, r in rows])], ["lang", "at", "value"])
 
-    rows = docs.where(take).select("text", "lang").mapInArrow(run, "lang string, at binary, value binary").limit(2 * sample).collect()
+    # at most `sample` ids and languages: small enough to broadcast, so texts are not shuffled
+    chosen = docs.select("doc_id", "text", "lang").join(few, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).select("text", "lang")
+    rows = chosen.mapInArrow(run, "lang string, at binary, value binary").collect()
     x = np.zeros((len(rows), 1 << BITS), np.float32)
     for k, r in enumerate(rows):
         x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["value"], np.float32)

@@ -1,7 +1,7 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A text is a bag of its distinct hashed character 3- to 6-grams of its words (with word borders), so misspelled words
-share vectors with the spelled ones. The grams' embeddings are averaged and go to a two-class softmax;
+A text is a bag of hashed character 3- to 6-grams of its words (with word borders; a gram that occurred among the
+last SPAN ones doesn't count again), so misspelled words share vectors with the spelled ones. The grams' embeddings are averaged and go to a two-class softmax;
 embeddings and softmax are trained together by stochastic gradient descent on at most TRAIN_DOCS labelled
 documents, half of them toxic where there are enough. A text is averaged in windows of WINDOW grams that overlap by
 half, and its most toxic window counts, so a long text doesn't hide a short insult; in training a toxic
@@ -10,8 +10,8 @@ model folds into one number a gram, and scoring is a lookup and a running sum.
 
 Defined results: null or empty text, or text without a gram, has the score of the bias alone; a null doc_id
 is not held out and not learned from; without labels of both kinds every score is the share of toxic
-labels (0 without labels); labels of a document that repeat count as they come; repeated rows are scored
-one by one; an empty table gives an empty result; other columns are never features.
+labels (0 without labels); a document with labels of both kinds is toxic; of rows with one doc_id one is
+learned from; repeated rows are scored one by one; an empty table gives an empty result; other columns are never features.
 """
 
 from __future__ import annotations
@@ -24,16 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import read_table, smallest
 from .grams import buffer, hashes, table
 
-BITS, DIM, SIZES, WINDOW = 17, 8, (3, 4, 5, 6), 192
+BITS, DIM, SIZES, WINDOW, SPAN = 17, 8, (3, 4, 5, 6), 192, 1 << 15
 TRAIN_DOCS, EPOCHS, RATE = 6000, 10, 1.0
 _KEEP = table("0123456789@$*")
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct gram buckets in reading order, and where each text's begin."""
+    """Each text's gram buckets in reading order, without those that occurred less than SPAN grams before, and where each text's begin."""
     data, starts = buffer(texts, _KEEP)
     black = data != 32
     m = len(data) - max(SIZES) + 1
@@ -50,6 +50,10 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         own, place = found[a:z], np.arange(z - a)
         seen_at[own[::-1]] = place[::-1]
         fresh[a:z] = seen_at[own] == place
+        if z - a > SPAN:
+            order = np.argsort(own, kind="stable")
+            far = (own[order[1:]] == own[order[:-1]]) & (np.diff(order) >= SPAN)
+            fresh[a + order[1:][far]] = True
     return found[fresh], np.concatenate([[0], np.cumsum(fresh)])[per]
 
 
@@ -119,12 +123,9 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic): learns from at most `limit` documents."""
-    marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    dice = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000))
-    take = F.lit(False)
-    for mark, n in counts.items():
-        take |= (F.col("toxic") == mark) & (dice < F.lit(int(min(1.0, 0.5 * limit / n) * 1_000_000)))
+    few = F.broadcast(smallest(marks, "toxic", counts, limit // 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,10 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
                 found, starts = grams([t or "" for t in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([found[a:z].astype("<u4").tobytes() for a, z in zip(starts, starts[1:])])], ["toxic", "bag"])
 
-    # at most 2 * limit labels of two numbers: small enough to broadcast, so texts are not shuffled
-    few = F.broadcast(marks.where(take).limit(2 * limit))
-    chosen = docs.select("doc_id", "text").join(few, "doc_id").select("text", "toxic")
-    rows = chosen.mapInArrow(run, "toxic int, bag binary").limit(2 * limit).collect()
+    # at most `limit` labels of two numbers: small enough to broadcast, so texts are not shuffled
+    chosen = docs.select("doc_id", "text").join(few, "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
+    rows = chosen.mapInArrow(run, "toxic int, bag binary").collect()
     return train([np.frombuffer(r["bag"], "<u4") for r in rows], np.array([int(r["toxic"] > 0) for r in rows], int))
 
 

@@ -50,6 +50,12 @@ def test_toxicity_of_held_out_texts(spark, tmp_path):
     got = {r.doc_id: r for r in out}
     assert np.mean([got[i].predicted == y for i, _, y in rows if got[i].held_out]) > 0.95
     assert got[903].predicted == 1, "misspellings share n-grams"
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    rng = random.Random(1)
+    made = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(2, 7)))
+    long = " ".join(made() if k % 9 == 0 else rng.choice(WORDS["en"]) for k in range(700_000))
+    assert model.score([long])[0] < model.score([long + " zarktic flimwick grumbol " + " ".join(WORDS["en"][:20])])[0]
+    assert model.score([long + " zarktic grumbol flimwick of the grumbol zarktic"])[0] > 0.5
     assert got[900].score == got[901].score == got[902].score
 
 
