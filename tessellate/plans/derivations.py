@@ -143,7 +143,7 @@ SQL = {
     "p1_card_rows": "WITH o AS (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN year(o_orderdate) END AS lo, CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) + 2 END AS hi FROM orders) SELECT o_orderkey, o_totalprice::DECIMAL(15,2)::VARCHAR AS price, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS label, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN lo || '–' || hi WHEN lo IS NOT NULL THEN 'from ' || lo WHEN hi IS NOT NULL THEN 'to ' || hi END AS span, o_orderpriority[1:5] AS short FROM o",
     "p8_relative_days": "WITH d AS (SELECT event_id, ts, DATE '2024-01-05' - ts::DATE AS d FROM events) SELECT event_id, CASE WHEN d = 0 THEN 'today' WHEN d = 1 THEN 'yesterday' WHEN d < 7 THEN d || ' days ago' ELSE strftime(ts, '%Y-%m-%d') END AS label FROM d",
     "j7_update_from": "SELECT p_partkey, coalesce(s, lower(p.p_type)) AS synonyms FROM part p LEFT JOIN (VALUES ('ECONOMY', 'eco'), ('PROMO', 'promo,sale')) v(t, s) ON p.p_type = v.t",
-    "j13_deepest": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, (l_partkey % 5) || '.' || l_linenumber || '.' || (l_partkey % 3) AS n FROM lineitem WHERE l_orderkey < 5000), s AS (SELECT unnest(['1', '1.2', '1.2.0', '3', '4.1']) AS section) SELECT l_orderkey, l_linenumber, l_partkey, (SELECT arg_max(section, length(section)) FROM s WHERE n = section OR starts_with(n, section || '.')) AS section FROM l",
+    "j13_deepest": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, (l_partkey % 5) || '.' || l_linenumber || '.' || (l_partkey % 3) AS n FROM lineitem), s AS (SELECT unnest(['1', '1.2', '1.2.0', '3', '4.1']) AS section) SELECT l_orderkey, l_linenumber, l_partkey, (SELECT arg_max(section, length(section)) FROM s WHERE n = section OR starts_with(n, section || '.')) AS section FROM l",
     "f13_visible": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7 OR (o_orderstatus = 'P' AND o_orderpriority IN ('3-MEDIUM', '2-HIGH', '1-URGENT'))",
     "a16_counts": "SELECT (SELECT count(*) FROM customer) AS users, (SELECT count(*) FROM customer WHERE c_acctbal >= 0) AS live, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS found, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS undecided, (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-04') AS last_day",
     "s12_cached_cells": "WITH c AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS t FROM events GROUP BY 1) SELECT range AS cell FROM range(200) WHERE range NOT IN (SELECT user_id FROM c WHERE t <> 'error') AND NOT contains(range::VARCHAR, '99')",

@@ -171,7 +171,7 @@ SQL = {
     "j12_unique_match": "WITH a AS (SELECT unnest(['small ring', 'small', 'purple w', 'zzz', 'blue widget']) AS ask), p AS (SELECT DISTINCT p_name FROM part) SELECT ask, CASE WHEN ask IN (SELECT p_name FROM p) THEN ask WHEN (SELECT count(*) FROM p WHERE contains(p_name, ask)) = 1 THEN (SELECT min(p_name) FROM p WHERE contains(p_name, ask)) END AS found FROM a",
     "o7_top3": "WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_returnflag <> 'R', l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey)::INTEGER AS place FROM lineitem) SELECT * FROM r WHERE place <= 3",
     "s18_picked": "SELECT (list_position([7, 3, 900, 3, 12, 7, 100000], p_partkey) - 1)::INTEGER AS pos, p_partkey, p_name FROM part WHERE p_partkey IN (7, 3, 900, 12, 100000)",
-    "p3_verdicts": "WITH a AS (SELECT *, CASE WHEN l_extendedprice > 90000 THEN 'fail' WHEN l_extendedprice > 60000 THEN 'review' ELSE 'ok' END AS p, CASE WHEN l_tax > 0.07 THEN 'review' ELSE 'ok' END AS t, CASE WHEN l_returnflag = 'A' THEN 'fail' ELSE 'ok' END AS f FROM lineitem WHERE l_orderkey % 10 = 3) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN 'fail' IN (p, t, f) THEN 'fail' WHEN 'review' IN (p, t, f) THEN 'review' ELSE 'ok' END AS verdict, concat_ws(',', CASE WHEN p <> 'ok' THEN 'price' END, CASE WHEN t <> 'ok' THEN 'tax' END, CASE WHEN f <> 'ok' THEN 'flag' END) AS reasons FROM a",
+    "p3_verdicts": "WITH a AS (SELECT *, CASE WHEN l_extendedprice > 90000 THEN 'fail' WHEN l_extendedprice > 60000 THEN 'review' ELSE 'ok' END AS p, CASE WHEN l_tax > 0.07 THEN 'review' ELSE 'ok' END AS t, CASE WHEN l_returnflag = 'A' THEN 'fail' ELSE 'ok' END AS f FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN 'fail' IN (p, t, f) THEN 'fail' WHEN 'review' IN (p, t, f) THEN 'review' ELSE 'ok' END AS verdict, concat_ws(',', CASE WHEN p <> 'ok' THEN 'price' END, CASE WHEN t <> 'ok' THEN 'tax' END, CASE WHEN f <> 'ok' THEN 'flag' END) AS reasons FROM a",
     "u1_union": "WITH u AS (SELECT l_orderkey AS k, 0 AS kind, l_linenumber AS spot, l_partkey AS ref FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT o_orderkey, 1, 0, o_custkey FROM orders WHERE o_orderstatus = 'P') SELECT *, row_number() OVER (PARTITION BY k ORDER BY kind, spot, ref)::INTEGER AS pos FROM u",
     "u3_set_changes": "WITH g AS (SELECT o_custkey, coalesce(list_sort(list(DISTINCT substr(o_orderpriority, 1, 1)) FILTER (o_orderstatus <> 'P')), []) AS a, coalesce(list_sort(list(DISTINCT substr(o_orderpriority, 1, 1)) FILTER (o_orderstatus = 'F')), []) AS b FROM orders GROUP BY 1) SELECT o_custkey, a = b AS same, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS both, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ',') AS only_a FROM g",
 }
