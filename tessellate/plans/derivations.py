@@ -146,6 +146,6 @@ SQL = {
     "j13_deepest": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, (l_partkey % 5) || '.' || l_linenumber || '.' || (l_partkey % 3) AS n FROM lineitem), s AS (SELECT unnest(['1', '1.2', '1.2.0', '3', '4.1']) AS section) SELECT l_orderkey, l_linenumber, l_partkey, (SELECT arg_max(section, length(section)) FROM s WHERE n = section OR starts_with(n, section || '.')) AS section FROM l",
     "f13_visible": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7 OR (o_orderstatus = 'P' AND o_orderpriority IN ('3-MEDIUM', '2-HIGH', '1-URGENT'))",
     "a16_counts": "SELECT (SELECT count(*) FROM customer) AS users, (SELECT count(*) FROM customer WHERE c_acctbal >= 0) AS live, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS found, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS undecided, (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-04') AS last_day",
-    "s12_cached_cells": "WITH c AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS t FROM events GROUP BY 1) SELECT range AS cell FROM range(200) WHERE range NOT IN (SELECT user_id FROM c WHERE t <> 'error') AND NOT contains(range::VARCHAR, '99')",
+    "s12_cached_cells": "WITH c AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS t FROM events GROUP BY 1), w AS (SELECT range AS cell FROM range(200) UNION SELECT user_id + d FROM (SELECT DISTINCT user_id FROM events), (VALUES (-1), (0), (1)) v(d)) SELECT cell FROM w WHERE cell >= 0 AND cell NOT IN (SELECT user_id FROM c WHERE t <> 'error') AND NOT contains(cell::VARCHAR, '99')",
     "t24_citations": "SELECT p_partkey, p_name AS name, 0 AS first, 2 AS n_parts FROM part UNION ALL SELECT p_partkey, p_type, 2, 1 FROM part",
 }

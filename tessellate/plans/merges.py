@@ -89,7 +89,7 @@ def a13_next_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New versions go on from the highest number their parent has."""
     li = table(spark, sf_dir, "lineitem")
     top = li.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("top"))
-    new = table(spark, sf_dir, "orders").where("o_orderkey % 50 < 2").select((F.col("o_orderkey") - F.col("o_orderkey") % 50).alias("l_orderkey"), "o_custkey", "o_orderkey")
+    new = table(spark, sf_dir, "orders").select((F.col("o_orderkey") - F.col("o_orderkey") % 50).alias("l_orderkey"), "o_custkey", "o_orderkey")
     w = Window.partitionBy("l_orderkey").orderBy("o_orderkey")
     return new.join(top, "l_orderkey", "left").select("l_orderkey", "o_orderkey", (F.coalesce("top", F.lit(0)) + F.row_number().over(w)).alias("number"))
 
@@ -127,7 +127,7 @@ SQL = {
     "dml3_conflicts": "SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN 'conflict' ELSE 'applied' END AS outcome, CASE WHEN o_orderkey % 8 <> 0 AND o_orderstatus <> 'F' THEN o_orderstatus || '>F' ELSE '' END AS change FROM orders WHERE o_orderkey % 4 = 0",
     "dml4_cascade": "SELECT c_custkey AS o_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND c_custkey % 11 <> 0 GROUP BY 1",
     "dml5_replace": "WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag = 'A' AS c FROM lineitem), n AS (SELECT l_orderkey, l_linenumber, l_partkey FROM o WHERE l_orderkey % 2 = 0 AND l_linenumber <= 2), g AS (SELECT DISTINCT l_orderkey FROM n WHERE l_orderkey NOT IN (SELECT l_orderkey FROM o WHERE c AND l_orderkey % 6 <> 0)) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey IN (SELECT l_orderkey FROM g) THEN 'archived' ELSE 'kept' END AS kind FROM o UNION ALL SELECT *, 'new' FROM n WHERE l_orderkey IN (SELECT l_orderkey FROM g)",
-    "a13_next_number": "WITH n AS (SELECT o_orderkey - o_orderkey % 50 AS l_orderkey, o_orderkey FROM orders WHERE o_orderkey % 50 < 2), t AS (SELECT l_orderkey, max(l_linenumber) AS top FROM lineitem GROUP BY 1) SELECT l_orderkey, o_orderkey, (coalesce(top, 0) + row_number() OVER (PARTITION BY l_orderkey ORDER BY o_orderkey))::INTEGER AS number FROM n LEFT JOIN t USING (l_orderkey)",
+    "a13_next_number": "WITH n AS (SELECT o_orderkey - o_orderkey % 50 AS l_orderkey, o_orderkey FROM orders), t AS (SELECT l_orderkey, max(l_linenumber) AS top FROM lineitem GROUP BY 1) SELECT l_orderkey, o_orderkey, (coalesce(top, 0) + row_number() OVER (PARTITION BY l_orderkey ORDER BY o_orderkey))::INTEGER AS number FROM n LEFT JOIN t USING (l_orderkey)",
     "v1_first_error": "WITH e AS (SELECT p_partkey, list_filter([CASE WHEN p_size > 40 THEN 'size' END, CASE WHEN p_retailprice < 950 THEN 'price' END, CASE WHEN contains(p_name, 'red') THEN 'name' END, CASE WHEN regexp_matches(p_brand, '#1[0-9]$') THEN 'brand' END], lambda x: x IS NOT NULL) AS e FROM part) SELECT p_partkey, coalesce(e[1], '') AS first, array_to_string(e[1:2], ';') || CASE WHEN len(e) > 2 THEN ';+' || (len(e) - 2) ELSE '' END AS errors FROM e",
     "v3_answers": "WITH l AS (SELECT * FROM lineitem), a AS (SELECT DISTINCT l_orderkey, l_linenumber FROM l WHERE l_returnflag <> 'N'), g AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM l WHERE l_linestatus = 'O' GROUP BY 1, 2) SELECT coalesce(a.l_orderkey, g.l_orderkey) AS l_orderkey, coalesce(a.l_linenumber, g.l_linenumber) AS l_linenumber, CASE WHEN n IS NULL THEN 'missing' WHEN a.l_orderkey IS NULL THEN 'unknown' WHEN n > 1 THEN 'repeated' ELSE 'ok' END AS kind FROM a FULL JOIN g ON a.l_orderkey = g.l_orderkey AND a.l_linenumber = g.l_linenumber",
     "v4_clashes": "WITH w AS (SELECT p_type, unnest(string_split(lower(p_name), ' ')) AS word FROM part) SELECT word, count(DISTINCT p_type) AS n_types, count(*) AS n, sum(length(word)) > 500 AS too_big FROM w GROUP BY 1 HAVING count(DISTINCT p_type) > 1",

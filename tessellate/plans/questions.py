@@ -92,7 +92,7 @@ def k7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"])
     w = Window.partitionBy("conv_id").orderBy("turn")
     n = F.row_number().over(w)
-    text = F.when(F.col("role") == "user", F.concat((F.floor((n + 1) / 2)).cast("string"), F.lit(". "), F.substring("text", 1, 20))).otherwise(F.substring("text", 1, 10))
+    text = F.when(F.col("role") == "user", F.concat((F.floor((n + 1) / 2)).cast("string"), F.lit(". "), F.col("text"))).otherwise(F.col("text"))
     return split_items(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("position"), text.alias("text")))
 
 

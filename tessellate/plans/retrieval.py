@@ -118,5 +118,8 @@ SQL = {
     "f21_running_heads": "WITH l AS (SELECT DISTINCT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE source IS NOT NULL), p AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1 HAVING count(*) >= 5), n AS (SELECT source, line, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY 1, 2) SELECT source, line, n, 2 * n > pages AS is_head FROM n JOIN p USING (source) WHERE n >= 2",
     "k9_near_names": "WITH k AS (SELECT DISTINCT p_name || ' ' || p_brand AS k FROM part) SELECT x.k AS a, y.k AS b, levenshtein(x.k, y.k)::INTEGER AS distance FROM k x JOIN k y ON x.k < y.k AND levenshtein(x.k, y.k) <= floor(greatest(length(x.k), length(y.k)) * 0.2)",
     "t18_snippets": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), n AS (SELECT *, len(list_intersect(list_distinct(regexp_split_to_array(lower(line), '[^a-z]+')), ['the', 'and', 'that', 'der', 'les', 'que'])) AS n FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS k FROM n) SELECT doc_id, CASE WHEN length(line) > 160 THEN line[1:159] || '…' ELSE line END AS snippet, n::INTEGER AS n FROM r WHERE k = 1",
-    "j10_name_share": "WITH w AS (SELECT p_partkey, list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda w: length(w) >= 3)) AS tokens FROM part), q AS (SELECT p_partkey AS row_id, tokens FROM w WHERE p_partkey < 30), d AS (SELECT p_partkey AS page_id, tokens FROM w WHERE p_partkey >= 1000), " + SHARE.format(least=1, top=5),
+    "j10_name_share": r"""WITH q AS (SELECT p_partkey AS k, list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda w: length(w) >= 3)) AS tokens FROM part),
+  g AS (SELECT list_sort(tokens) AS t, list(k) AS ks FROM q GROUP BY 1), h AS (SELECT a.t AS a, len(list_intersect(a.t, b.t)) AS n, len(a.t) AS size, b.ks FROM g a, g b WHERE len(list_intersect(a.t, b.t)) >= greatest(1, 0.6 * len(a.t))),
+  m AS (SELECT a, n, size, unnest(list_sort(ks)[1:6]) AS page_id FROM h), r AS (SELECT q.k AS row_id, page_id, n, n / size AS s FROM q JOIN m ON list_sort(q.tokens) = m.a WHERE page_id <> q.k),
+  x AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY s DESC, page_id)::INTEGER AS place FROM r) SELECT row_id, page_id, n, round(s, 4) AS share, place FROM x WHERE place <= 5""",
 }
