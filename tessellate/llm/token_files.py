@@ -29,7 +29,7 @@ from .chunk_encoder import encoder
 from .common import materialize, open_output, read_table, shared_dir
 from .range_codec import GROUP, decode_group, encode_group
 
-TOKENIZER, END_ID, MEMO, ROLL_IDS = "word_bpe_49k.json", 1, 1_200_000, 1 << 26
+TOKENIZER, END_ID, MEMO, ROLL_IDS = "word_bpe_49k.json", 1, 900_000, 1 << 26
 MAGIC, TAIL = b"IDFILE1\n", struct.Struct("<QQI8s")
 
 
