@@ -1,7 +1,7 @@
 """Every registered query with its oracle SQL, gathered from the plan modules."""
 
-from . import catalog, derivations, feed, kernels, merges, questions, retrieval, review, rollups, scalars, search, sequences
+from . import catalog, derivations, feed, kernels, merges, questions, retrieval, review, rollups, scalars, search, sequences, sinks
 
-MODULES = [search, catalog, rollups, sequences, merges, retrieval, kernels, derivations, questions, scalars, feed, review]
+MODULES = [search, catalog, rollups, sequences, merges, retrieval, kernels, derivations, questions, scalars, feed, review, sinks]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

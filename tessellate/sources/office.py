@@ -106,7 +106,7 @@ def header_rows(cells: DataFrame, roles: dict[str, tuple[str, ...]], deepest: in
     return best.select(*keys, "row", F.map_from_entries(F.transform("c", lambda x: F.struct(F.get(names, x["role"]), x["col"]))).alias("columns"))
 
 
-def csv_text(df: DataFrame) -> DataFrame:
-    """One text column `line`: every field quoted, quotes doubled, null blank; for text sinks with CRLF line ends."""
-    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns]
-    return df.select(F.concat_ws(",", *quoted).alias("line"))
+def csv_text(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A text column `line` beside the kept ones: every other field quoted, quotes doubled, null blank; for text sinks with CRLF line ends."""
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns if c not in keep]
+    return df.select(*keep, F.concat_ws(",", *quoted).alias("line"))
