@@ -15,6 +15,7 @@ def test_coverage_table():
             claimed |= {f"{letters}{n}" for n in range(int(low), int(high or low) + 1)}
     missing = set(re.findall(r"\b[A-Z]+\d+\b", re.search(r"Not built yet: (.*?)\. ", text)[1]))
     assert not claimed & missing
-    assert {"K5", "K8", "T11", "P4", "P5", "P11", "J11", "T25"} <= missing
-    named = {n for _, code in rows for n in re.findall(r"`(\w+)`", code)}
-    assert {"k12_filters", "j14_located", "k7_items", "t23_read_back"} <= named & set(registry.QUERIES)
+    named = {n for _, code in rows for n in re.findall(r"`([a-z]+\d+_\w+)`", code)}
+    assert named <= set(registry.QUERIES), named - set(registry.QUERIES)
+    # queries whose names begin with an ID stand behind it
+    assert len(named) > 100
