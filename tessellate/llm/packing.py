@@ -113,8 +113,8 @@ def carried(rest: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int,
     return runs
 
 
-def joined_ranges(swept: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> tuple[DataFrame, DataFrame]:
-    """What sweep() left: pieces (owner, size, pair) and slots (seq, slot, pair); pair is null without a mate."""
+def joined_ranges(swept: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """What sweep() left, pieces (owner, size) and slots (seq, slot), with the number of their pair; pair is null without a mate."""
     base = np.cumsum([0, *[r[4] for r in runs]])
     by_slot: dict[int, list[tuple[int, int, int, int]]] = {}
     by_piece: dict[int, list[tuple[int, int, int, int]]] = {}
@@ -140,8 +140,7 @@ def joined_ranges(swept: DataFrame, runs: list[tuple[int, int, int, int, int]])
                     pair[at] = np.where((off >= 0) & (off < row[:, 1]), row[:, 2] + off * row[:, 3], -1)
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(pair, mask=pair < 0)], ["owner", "size", "seq", "slot", "pair"])
 
-    rest = swept.where("nth IS NOT NULL").mapInArrow(run, "owner long, size int, seq long, slot int, pair long")
-    return rest.where("owner IS NOT NULL").select("owner", "size", "pair"), rest.where("owner IS NULL").select("seq", "slot", "pair")
+    return swept.where("nth IS NOT NULL").mapInArrow(run, "owner long, size int, seq long, slot int, pair long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -172,17 +171,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         slots = slots.select(F.floor(F.col("gap") / F.col("n")).cast("int").alias("size"), F.col("seq").alias("owner"), F.explode(F.sequence(F.lit(1), "n")).alias("slot"))
         swept = scratch.write(sweep(slots.unionByName(left.select("size", "owner", F.lit(None).cast("int").alias("slot")))), "swept")
         rest = swept.groupBy("part").agg(F.count(F.when(F.col("owner").isNull(), 1)).alias("slots"), F.count(F.when(F.col("seq").isNull(), 1)).alias("pieces")).collect()
-        waiting, open_slots = joined_ranges(swept, carried([(r["part"], r["slots"], r["pieces"]) for r in rest]))
-        mates = waiting.where("pair IS NOT NULL").join(open_slots.where("pair IS NOT NULL"), "pair").select("owner", "size", "seq", "slot")
+        rest = scratch.write(joined_ranges(swept, carried([(r["part"], r["slots"], r["pieces"]) for r in rest])), "rest")
+        paired = rest.where("pair IS NOT NULL")
+        mates = paired.where("owner IS NOT NULL").select("pair", "owner", "size").join(paired.where("owner IS NULL").select("pair", "seq", "slot"), "pair").select("owner", "size", "seq", "slot")
         met = swept.where("nth IS NULL").select("owner", "size", "seq", "slot").unionByName(mates)
         met = scratch.write(met.select("owner", "size", "seq", F.lit(turn).alias("turn"), "slot"), f"placed-{turn}")
         placed.append(met)
         used = met.groupBy("seq").agg(F.sum("size").alias("used"))
         rest_gaps = gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).cast("int").alias("gap")).where(F.col("gap") >= now["least"])
         gaps = scratch.write(rest_gaps, "gaps")
-        left = scratch.write(waiting.where("pair IS NULL").select("owner", "size"), "left")
+        left = scratch.write(rest.where("owner IS NOT NULL AND pair IS NULL").select("owner", "size"), "left")
         stalled = met.count() * 100 < now["n"]
-    scratch.drop("swept", "gaps", "left")
+    scratch.drop("swept", "rest", "gaps", "left")
     every = placed[0]
     for more in placed[1:]:
         every = every.unionByName(more)
