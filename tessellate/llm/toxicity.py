@@ -5,7 +5,7 @@ last SPAN ones doesn't count again), so misspelled words share vectors with the
 embeddings and softmax are trained together by stochastic gradient descent on at most TRAIN_DOCS labelled
 documents, half of them toxic where there are enough. A text is averaged in windows of WINDOW grams that overlap by
 half, and its most toxic window counts, so a long text doesn't hide a short insult; in training a toxic
-document is represented by its currently most toxic window. Because the averages are linear, a trained
+document is represented by its currently most toxic window, and each gram counts once in a text, which bounds what is gathered. Because the averages are linear, a trained
 model folds into one number a gram, and scoring is a lookup and a running sum.
 
 Defined results: null or empty text, or text without a gram, has the score of the bias alone; a null doc_id
@@ -32,8 +32,8 @@ TRAIN_DOCS, EPOCHS, RATE = 6000, 10, 1.0
 _KEEP = table("0123456789@$*")
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's gram buckets in reading order, without those that occurred less than SPAN grams before, and where each text's begin."""
+def grams(texts: list[str], again: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's gram buckets in reading order, without those that occurred less than SPAN grams before (or at all, without `again`), and where each text's begin."""
     data, starts = buffer(texts, _KEEP)
     black = data != 32
     m = len(data) - max(SIZES) + 1
@@ -50,7 +50,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         own, place = found[a:z], np.arange(z - a)
         seen_at[own[::-1]] = place[::-1]
         fresh[a:z] = seen_at[own] == place
-        if z - a > SPAN:
+        if again and z - a > SPAN:
             order = np.argsort(own, kind="stable")
             far = (own[order[1:]] == own[order[:-1]]) & (np.diff(order) >= SPAN)
             fresh[a + order[1:][far]] = True
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                found, starts = grams([t or "" for t in part.column(0).to_pylist()])
+                found, starts = grams([t or "" for t in part.column(0).to_pylist()], again=False)
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([found[a:z].astype("<u4").tobytes() for a, z in zip(starts, starts[1:])])], ["toxic", "bag"])
 
     # at most `limit` labels of two numbers: small enough to broadcast, so texts are not shuffled
