@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
 from copy import copy
 from functools import lru_cache
@@ -27,14 +28,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, let, read_table
 
 RANKS, LIST_LIMIT, LONG = "byte_bpe_50k.tiktoken", 200_000, 4096
-SHARED_WORDS, SHARED_BYTES = 400_000, 32
+SHARED_WORDS, SHARED_BYTES, HASH_SEED = 400_000, 32, 42
 NONE = 65536
+#: a mark behind a word that is a word of its own (not an apostrophe)
+MARKS = tuple(".,;:!?")
 
 
 @lru_cache(4)
@@ -107,10 +111,14 @@ class Tables:
 
     def rank(self, a: Column, b: Column) -> Column:
         """The rank of a pair's merged token, or a number over 65535 if they have none."""
-        key = a.cast("bigint") * 65536 + b
-        slot = (key % SLOTS + F.get(self.moves, (key % SPREAD).cast("int"))) % SLOTS
-        # a slot of another key is at least SHIFT - 65535 away
-        return F.abs(F.get(self.slots, slot.cast("int")) - key * SHIFT)
+
+        def of(key: Column) -> Column:
+            slot = (key % SLOTS + F.get(self.moves, (key % SPREAD).cast("int"))) % SLOTS
+            # a slot of another key is at least SHIFT - 65535 away
+            return F.abs(F.get(self.slots, slot.cast("int")) - key * SHIFT)
+
+        # both tokens are expressions of their own, so the key is evaluated once
+        return let(a.cast("bigint") * 65536 + b, of)
 
 
 def fold_merges(word: Column, t: Tables) -> Column:
@@ -119,9 +127,6 @@ def fold_merges(word: Column, t: Tables) -> Column:
     def merge(s: Column) -> Column:
         ids, ranks = s["ids"], s["ranks"]
 
-        def at_place(m: Column) -> Column:
-            return let(F.array_position(ranks, m).cast("int"), lambda p: joined(m, p))
-
         def joined(m: Column, p: Column) -> Column:
             none = F.array().cast("array<bigint>")
             left = F.when(p > 1, F.array(t.rank(F.get(ids, p - 2), m))).otherwise(none)
@@ -131,12 +136,14 @@ def fold_merges(word: Column, t: Tables) -> Column:
                 F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, F.size(ids))).alias("ranks"),
             )
 
-        return let(F.coalesce(F.array_min(ranks), F.lit(NONE).cast("bigint")), lambda m: F.when(m >= NONE, s).otherwise(at_place(m)))
+        least = F.array_min(ranks)
+        merged = let(least, lambda m: let(F.array_position(ranks, m).cast("int"), lambda p: joined(m, p)))
+        return F.when(least.isNull() | (least >= NONE), s).otherwise(merged)
 
     def begin(ids: Column) -> Column:
         ranks = F.transform(F.slice(ids, 2, F.size(ids)), lambda b, i: t.rank(F.get(ids, i), b))
-        # the loop runs over the word's own places: at most one merge for each
-        return F.aggregate(word, F.struct(ids.alias("ids"), ranks.alias("ranks")), lambda s, _: merge(s), lambda s: s["ids"])
+        # the loop runs over the word's own bytes but one: at most one merge for each
+        return F.aggregate(F.slice(word, 2, F.size(word)), F.struct(ids.alias("ids"), ranks.alias("ranks")), lambda s, _: merge(s), lambda s: s["ids"])
 
     return let(F.transform(word, lambda b: F.get(t.single, b.cast("int"))), begin)
 
@@ -171,44 +178,79 @@ def merge_long(word: bytes, path: str) -> list[int]:
 class SharedWords:
     """Words that all tasks know: their places run from 0 in the order of their hashes."""
 
-    def __init__(self, rows: list[tuple[str, bytes, bytes]]):
-        """rows: word, ids as little-endian uint32, decoded bytes."""
-        rows = sorted((_hash(w), w, ids, piece) for w, ids, piece in rows)
-        self.hashes = np.array([r[0] for r in rows], np.uint64)
-        self.text = [packed([r[k].encode() if k == 1 else r[k] for r in rows]) for k in (1, 2, 3)]
-        self.cells: tuple[list[bytes], list[bytes]] | None = None
+    def __init__(self, rows: pa.Table):
+        """rows: word, hash (the word's xxhash64 as Spark has it), ids and piece (its decoded bytes)."""
+        hashes = rows.column("hash").to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, rows = hashes[order], rows.take(order)
+        self.text = [flat(rows.column(c)) for c in ("word", "ids", "piece")]
 
     def __len__(self) -> int:
         return len(self.hashes)
 
-    def lists(self) -> tuple[list[bytes], list[bytes]]:
-        """The ids and the decoded bytes by place; a task appends its own words' and begins by cutting off the last task's."""
-        if not self.cells:
-            self.cells = tuple([data[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())] for data, ends in self.text[1:])
-        for cells in self.cells:
-            del cells[len(self) :]
-        return self.cells
+    def cell(self, k: int, place: int) -> bytes:
+        """The ids (k = 1) or the decoded bytes (k = 2) of a place."""
+        data, ends = self.text[k]
+        return data[ends[place - 1] if place else 0 : ends[place]]
 
     def find(self, words: list[str]) -> list[int]:
         """Each word's place, or -1."""
         if not len(self.hashes):
             return [-1] * len(words)
-        wanted = np.array([_hash(w) for w in words], np.uint64)
+        coded = [w.encode() for w in words]
+        wanted = np.array([xxhash.xxh64_intdigest(w, HASH_SEED) for w in coded], np.uint64)
         at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        (data, ends), out = self.text[0], []
-        for w, p, same in zip(words, at.tolist(), (self.hashes[at] == wanted).tolist()):
-            out.append(p if same and data[ends[p - 1] if p else 0 : ends[p]] == w.encode() else -1)
-        return out
-
-
-def _hash(word: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word.encode())
-
-
-def packed(cells: list[bytes]) -> tuple[bytes, np.ndarray]:
-    return b"".join(cells), np.cumsum([len(c) for c in cells], dtype=np.int64) if cells else np.zeros(0, np.int64)
+        same = self.hashes[at] == wanted
+        return [p if s and self.cell(0, p) == w else -1 for w, p, s in zip(coded, at.tolist(), same.tolist())]
+
+
+def flat(column: pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
+    """The bytes of a column of texts, binaries or lists of ids (as little-endian uint32), and where each cell ends."""
+    cells = column.combine_chunks()
+    if pa.types.is_list(cells.type):
+        sizes = np.asarray(pc.list_value_length(cells), np.int64) * 4
+        return np.asarray(cells.flatten(), "<u4").tobytes(), np.cumsum(sizes)
+    return b"".join(cells.cast(pa.binary()).to_pylist()), np.cumsum(np.asarray(pc.binary_length(cells), np.int64))
+
+
+class Cells:
+    """Growing list of cells of a few numbers each, which are read many at a time."""
+
+    def __init__(self, kind: str, data: bytes, ends: np.ndarray):
+        self.kind = np.dtype(kind)
+        self.data, self.used = np.frombuffer(data, self.kind), len(data) // self.kind.itemsize
+        ends = ends // self.kind.itemsize
+        self.starts, self.sizes, self.n = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends, np.diff(ends, prepend=0), len(ends)
+        self.base = self.n, self.used
+
+    def restart(self) -> None:
+        """Only the first cells stay."""
+        self.n, self.used = self.base
+
+    def extend(self, data: np.ndarray, sizes: np.ndarray) -> None:
+        for name, used, more in (("data", self.used, len(data)), ("starts", self.n, len(sizes)), ("sizes", self.n, len(sizes))):
+            held = getattr(self, name)
+            if used + more > len(held) or not held.flags.writeable:
+                new = np.empty(max(used + more, used * 3 // 2, 1024), held.dtype)
+                new[:used] = held[:used]
+                setattr(self, name, new)
+        self.data[self.used : self.used + len(data)] = data
+        self.starts[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n : self.n + len(sizes)] = sizes
+        self.n, self.used = self.n + len(sizes), self.used + len(data)
+
+    def joined(self, places: np.ndarray, rows: np.ndarray) -> pa.Array:
+        """Binary cells: the numbers of the cells at places, of which the first rows[0] go to the first one, and so on."""
+        parts, at = [], np.zeros(len(places) + 1, np.int64)
+        for k in range(0, len(places), 65_536):
+            p = places[k : k + 65_536]
+            size = self.sizes[p]
+            ends = np.cumsum(size)
+            parts.append(self.data[np.repeat(self.starts[p] - ends + size, size) + np.arange(ends[-1])])
+            at[k + 1 : k + 1 + len(p)] = at[k] + ends
+        data = np.concatenate(parts) if parts else np.zeros(0, self.kind)
+        offsets = at[np.concatenate([[0], np.cumsum(rows)])] * self.kind.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 class _Memo(dict):
@@ -220,13 +262,29 @@ class _Memo(dict):
         return value
 
 
-def _spaced(chunk: str) -> str | None:
-    """The piece of a text that a chunk between spaces stands for, or None if it could join the white space before it."""
-    line = chunk[:1] == "\n"
-    first = chunk[line : line + 1]
-    if not first or first.isspace() or not first.isprintable():
-        return None
-    return chunk if line else " " + chunk
+class Splitter:
+    """Words of the chunks that a text falls into at spaces and line ends."""
+
+    def __init__(self, pattern: str):
+        import regex
+
+        self.find = regex.compile(pattern).findall
+
+    def words(self, chunk: str) -> list[str] | None:
+        """The words of a chunk with the space before it (a line's chunk begins with its line end), or None if it could join white space."""
+        if chunk.isalpha():
+            return [" " + chunk]
+        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+            return [" " + chunk[:-1], chunk[-1]]
+        line = chunk[:1] == "\n"
+        first = chunk[line : line + 1]
+        if not first or first.isspace() or not first.isprintable():
+            return None
+        return self.find(chunk if line else " " + chunk)
+
+
+def chunks_of(text: str) -> list[str]:
+    return text.replace("\n", " \n").split(" ")
 
 
 class WordList:
@@ -235,54 +293,51 @@ class WordList:
     `fresh` holds own words not yet handed out."""
 
     def __init__(self, pattern: str, shared: SharedWords):
-        import regex
-
-        self.find, self.shared = regex.compile(pattern).findall, shared
+        self.splitter, self.shared = Splitter(pattern), shared
         self.start()
 
     def start(self) -> None:
         self.number: dict[str, int] = {}
         self.own, self.fresh = 0, []
-        self.spaced, self.heads = _Memo(self._chunk), _Memo(self._places)
+        self.known: dict[str, bytes | None] = {}
+        self.heads = _Memo(lambda text: self.pack(self.splitter.find(text)))
 
     def learn(self, words: list[str]) -> None:
         """Numbers for words that have none."""
-        new = list(dict.fromkeys(w for w in words if w not in self.number))
+        number = self.number
+        new = list(dict.fromkeys(w for w in words if w not in number))
         for w, p in zip(new, self.shared.find(new)):
             if p < 0:
                 p = len(self.shared) + self.own
                 self.own += 1
                 self.fresh.append(w)
-            self.number[w] = p
+            number[w] = p
 
-    def _places(self, text: str) -> bytes:
-        words, get = self.find(text), self.number.get
-        out = [get(w) for w in words]
+    def pack(self, words: list[str]) -> bytes:
+        out = [self.number.get(w) for w in words]
         if None in out:
             self.learn(words)
             out = [self.number[w] for w in words]
-        return np.array(out, "<i4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes | None:
-        piece = _spaced(chunk)
-        return None if piece is None else self._places(piece)
+        return array("i", out).tobytes()
 
     def places(self, texts: list[str]) -> list[bytes]:
-        for memo in (self.spaced, self.heads):
+        for memo in (self.known, self.heads):
             if len(memo) > LIST_LIMIT:
                 memo.clear()
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        known, met = self.spaced, set()
+        cut, known, met = [chunks_of(t) for t in texts], self.known, set()
         for chunks in cut:
             met.update(chunks[1:])
-        pieces = [p for c in met - known.keys() if (p := _spaced(c)) is not None]
-        self.learn([w for p in pieces for w in self.find(p)])
+        split = {c: self.splitter.words(c) for c in met.difference(known)}
+        self.learn([w for words in split.values() if words for w in words])
+        number = self.number
+        for c, words in split.items():
+            known[c] = None if words is None else array("i", [number[w] for w in words]).tobytes()
         out = []
         for t, (head, *chunks) in zip(texts, cut):
             try:
                 out.append(self.heads[head] + b"".join(map(known.__getitem__, chunks)))
             except TypeError:
-                out.append(self._places(t))
+                out.append(self.pack(self.splitter.find(t)))
         return out
 
 
@@ -290,22 +345,20 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
     """word and tasks: the distinct words of the texts, and how many lists of LIST_LIMIT chunks hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find, chunks = regex.compile(pattern).findall, set()
+        splitter, chunks = Splitter(pattern), set()
 
         def words() -> Iterator[pa.RecordBatch]:
-            held = {w for c in chunks if (p := _spaced(c)) is not None for w in find(p) if len(w) <= SHARED_BYTES}
+            held = {w for c in chunks for w in splitter.words(c) or () if len(w) <= SHARED_BYTES}
             chunks.clear()
-            rows = [w for w in held if len(w.encode()) <= SHARED_BYTES]
+            rows = [w for w in held if w.isascii() or len(w.encode()) <= SHARED_BYTES]
             for k in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_pydict({"word": rows[k : k + 20_000]})
 
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 for t in b.column(0).slice(k, 64).to_pylist():
-                    chunks.update((t or "").replace("\n", " \n").split(" ")[1:])
-                if len(chunks) > 2 * LIST_LIMIT:
+                    chunks.update(chunks_of(t or "")[1:])
+                if len(chunks) > 3 * LIST_LIMIT:
                     yield from words()
         yield from words()
 
@@ -313,28 +366,26 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def shared_words(docs: DataFrame, t: Tables, pattern: str, most: int = SHARED_WORDS) -> SharedWords:
-    """The words that most tasks hold, folded once: as many whole powers of two of task counts as `most` allows."""
+    """The words that most tasks hold, folded once: as many whole steps (quarters of a power of two) of task counts as `most` allows."""
     scratch = Scratch(docs.sparkSession, "words")
-    words = scratch.write(distinct_words(docs, pattern).where("tasks > 1").select("word", "tasks", F.floor(F.log2("tasks")).cast("int").alias("power")), "words")
-    least, total = 64, 0
+    words = scratch.write(distinct_words(docs, pattern).where("tasks > 1").select("word", "tasks", F.floor(4 * F.log2("tasks")).cast("int").alias("power")), "words")
+    least, total = 256, 0
     for r in sorted(words.groupBy("power").count().collect(), reverse=True):
         total += r["count"]
         if total > most:
             break
         least = r["power"]
     taken = words.where(F.col("power") >= least).select("word", F.transform(F.array(F.encode("word", "UTF-8")), _bytes)[0].alias("bytes"))
-    folded = taken.select("word", t.bound(lambda own: fold_merges(F.col("bytes"), own)).alias("ids"))
-    rows = folded.select("word", "ids", decode_pieces(F.col("ids"), t).alias("piece")).toArrow()
-    ids = rows.column("ids").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
-    flat, ends = np.asarray(ids.flatten(), "<u4"), np.cumsum(np.asarray(pc.list_value_length(ids), np.int64))
-    cells = [flat[a:z].tobytes() for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    folded = taken.select("word", F.xxhash64("word").alias("hash"), t.bound(lambda own: fold_merges(F.col("bytes"), own)).alias("ids"))
+    rows = folded.select("word", "hash", "ids", decode_pieces(F.col("ids"), t).alias("piece")).toArrow()
     scratch.drop("words")
-    return SharedWords(list(zip(rows.column("word").to_pylist(), cells, rows.column("piece").to_pylist())))
+    return SharedWords(rows)
 
 
 def _bytes(word: Column) -> Column:
-    """array<smallint> of a binary's bytes."""
-    return F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.conv(F.hex(F.substr(word, i, F.lit(1))), 16, 10).cast("smallint"))
+    """array<smallint> of a binary's bytes: each byte's unsigned value from its Latin-1 character."""
+    text = F.decode(word, "ISO-8859-1")
+    return F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.ascii(F.substr(text, i, F.lit(1))).cast("smallint"))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, most_shared: int = SHARED_WORDS) -> DataFrame:
@@ -369,41 +420,39 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, most_shared: int = SH
         return np.array(merge_long(word, ranks_path), "<u4").tobytes()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (ids, pieces), n = shared.value.lists(), len(shared.value)
-        by_rank: list[bytes] = []
+        ids, pieces = (Cells(kind, *shared.value.text[k]) for k, kind in ((1, "<u4"), (2, "u1")))
         for b in batches:
-            rows, held = [], 0
-            for i in range(b.num_rows):
-                if b.column(1)[i].is_valid:
-                    if b.column(0)[i].as_py():
-                        del ids[n:], pieces[n:]
-                    cell = b.column(1)[i].values
-                    flat = cell.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                    at = (np.asarray(cell.offsets) - np.asarray(cell.offsets)[0]).tolist()
-                    done = b.column(2)[i].values.to_pylist()
-                    long = iter(b.column(3)[i].as_py())
-                    for a, z, piece in zip(at, at[1:], done):
-                        if a == z:  # a long word
-                            if not by_rank:
-                                by_rank = [k for _, k in sorted((v, k) for k, v in load_ranks(ranks_path).items())]
-                            ids.append(next(long))
-                            pieces.append(b"".join(by_rank[x] for x in np.frombuffer(ids[-1], "<u4").tolist()))
-                        else:
-                            ids.append(flat[4 * a : 4 * z])
-                            pieces.append(piece)
-                else:
-                    places = np.frombuffer(b.column(5)[i].as_py(), "<i4").tolist()
-                    rows.append((b.column(4)[i].as_py(), b"".join([ids[p] for p in places]), b"".join([pieces[p] for p in places])))
-                    held += len(rows[-1][1])
-                    if held > 1 << 22:
-                        yield out(rows)
-                        rows, held = [], 0
-            if rows:
-                yield out(rows)
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        doc, ids, text = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(ids, pa.binary()), pa.array(text, pa.binary())], ["doc_id", "ids", "decoded"])
+            # a row of words, and then the rows of the texts that they are for
+            heads = np.flatnonzero(b.column(1).is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for head, end in zip([-1, *heads], [*heads, b.num_rows]):
+                if head >= 0:
+                    if b.column(0)[head].as_py():  # the list begins anew
+                        ids.restart(), pieces.restart()
+                    learn(b, head, ids, pieces)
+                first = head + 1
+                while first < end:  # a few texts at a time, or one long one
+                    held = b.column(5).slice(first, end - first)
+                    offsets = np.frombuffer(held.buffers()[1], "<i4", len(held) + 1, 4 * held.offset).astype(np.int64)
+                    n = max(1, int(np.searchsorted(offsets, offsets[0] + (1 << 20), "right")) - 1)
+                    places = np.frombuffer(held.buffers()[2], "<i4", (offsets[n] - offsets[0]) // 4, offsets[0]) if offsets[n] > offsets[0] else np.zeros(0, np.int32)
+                    rows = np.diff(offsets[: n + 1]) // 4
+                    yield pa.RecordBatch.from_arrays([b.column(4).slice(first, n), *[c.joined(places, rows).cast(pa.binary()) for c in (ids, pieces)]], ["doc_id", "ids", "decoded"])
+                    first += n
+
+    def learn(b: pa.RecordBatch, row: int, ids: Cells, pieces: Cells) -> None:
+        cell, done = b.column(1)[row].values, b.column(2)[row].values
+        sizes = np.asarray(pc.list_value_length(cell), np.int64)
+        long = [x for x in b.column(3)[row].as_py()]
+        if not long:
+            ids.extend(np.asarray(cell.flatten(), "<u4"), sizes)
+            pieces.extend(np.frombuffer(b"".join(done.to_pylist()), "u1"), np.asarray(pc.binary_length(done), np.int64))
+            return
+        by_rank, waiting = [k for _, k in sorted((v, k) for k, v in load_ranks(ranks_path).items())], iter(long)
+        for own, piece in zip(cell.to_pylist(), done.to_pylist()):
+            own = np.array(own, "<u4") if own else np.frombuffer(next(waiting), "<u4")
+            piece = piece or b"".join(by_rank[x] for x in own.tolist())
+            ids.extend(own, np.array([len(own)]))
+            pieces.extend(np.frombuffer(piece, "u1"), np.array([len(piece)]))
 
     listed = docs.select("doc_id", "text").mapInArrow(split, "renew boolean, words array<array<smallint>>, long array<binary>, doc_id long, places binary")
     merged = listed.select("renew", t.bound(lambda own: F.transform("words", lambda w: fold_merges(w, own))).alias("ids"), "long", "doc_id", "places")

@@ -15,7 +15,7 @@ def library():
 
 def test_equals_the_library_and_decodes(spark, monkeypatch):
     rng = random.Random(8)
-    texts = ["", None, " ", "a", "  two  spaces ", "it's we'll 'tis I'd", "line\n\n next \n\tx", "a\n \nb\n", "naïve ß 中文 🙂 é", "x" * 700, "theraning" * 600, "ab " * 900, "  a ", "a\x1c b"]
+    texts = ["", None, " ", "a", "  two  spaces ", "it's we'll 'tis I'd", "line\n\n next \n\tx", "a\n \nb\n", "naïve ß 中文 🙂 é", "x" * 700, "theraning" * 600, "ab " * 900, "  a ", "a\x1c b", "word. word, it!s (x) a.b c..\n.d e?f! ..."]
     texts += ["".join(rng.choice("  \n\tabcdeTHE'ls1é.&中 ") for _ in range(60)) for _ in range(400)]
     rows = [(i, t, 0) for i, t in enumerate(texts)] + [(None, "no id", 0), (3, "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int").repartition(2)
@@ -33,9 +33,8 @@ def test_shared_words_are_the_widespread_ones(spark):
     tables = byte_bpe.Tables(PATH)
     shared = byte_bpe.shared_words(docs, tables, public_tokenizers.PATTERN)
     assert len(shared) >= 4 and min(shared.find([" common", " word", " and"])) >= 0 and shared.find([" w7"]) == [-1]
-    ids, pieces = shared.lists()
     at = shared.find([" common"])[0]
-    assert np.frombuffer(ids[at], "<u4").tolist() == library().encode_ordinary(" common") and pieces[at] == b" common"
+    assert np.frombuffer(shared.cell(1, at), "<u4").tolist() == library().encode_ordinary(" common") and shared.cell(2, at) == b" common"
     assert len(byte_bpe.shared_words(docs, tables, public_tokenizers.PATTERN, 0)) == 0
 
 
