@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .search import table
@@ -15,26 +15,46 @@ YEARS = (2000, 2100)
 PROJECT_FOLDER = r"(?i)^\\\\[^\\]+\\PS\\_Project [^\\]+\\[^\\]"
 MOST_RECORDS = 5000
 
-#: Every field as text, so that a field of a wrong JSON type is a rule's matter and no parse failure.
+#: fields that hold text, in the order in which they are read
 TEXTS = ("projectCode", "client", "projectName", "descriptionTh", "descriptionEn", "descriptionSource", "contractPath", "certificatePath", "projectFolderPath", "budgetSource", "vatStatus", "budgetNote", "certificateDate", "category")
-SCHEMA = ", ".join([*[f"{c} string" for c in TEXTS], "budgetAmount string", "year string", "tags array<string>", "workTypes array<string>"])
+NUMBERS, LISTS = ("budgetAmount", "year"), ("tags", "workTypes")
 
 
 def records(feed: DataFrame, body: str = "body") -> DataFrame:
-    """Requests {"projects": [...]} to one row a record: the request's columns, its place and its fields."""
+    """Requests {"projects": [...]} to one row a record: the request's columns, its place and its fields, each of its own type or null.
+
+    `kinds` names the JSON type of every field that is there and not null, so that a wrong one is told from an
+    absent one. A request that is no JSON (an object with a repeated key included), has no list of projects, or
+    has too many, gives one row without a place: `request` says why."""
     keep = [c for c in feed.columns if c != body]
-    parsed = feed.select(*keep, F.from_json(body, f"projects array<struct<{SCHEMA.replace(' string', ':string').replace(' array<', ':array<')}>>").alias("r"))
-    return parsed.select(*keep, F.size("r.projects").alias("n_records"), F.posexplode("r.projects").alias("place", "p")).select(*keep, "n_records", "place", "p.*")
+    found = feed.select(*keep, F.col(body).isNull().alias("none"), F.try_parse_json(body).alias("v"))
+    found = found.withColumn("list", F.try_variant_get("v", "$.projects", "array<variant>")).withColumn("n_records", F.coalesce(F.size("list"), F.lit(-1)))
+    # one text stands for a list in no JSON: only arrays are asked for their elements
+    is_list = F.coalesce(F.schema_of_variant(F.try_variant_get("v", "$.projects", "variant")).startswith("ARRAY"), F.lit(False))
+    request = F.when(F.col("v").isNull(), "request: no JSON").when(~is_list | (F.col("n_records") < 1), "request: no projects").when(F.col("n_records") > MOST_RECORDS, "request: too many records")
+    found = found.withColumn("request", request)
+    rows = found.select(*keep, "n_records", "request", F.posexplode_outer(F.when(F.col("request").isNull(), F.transform("list", _fields))).alias("place", "p"))
+    return rows.select(*keep, "n_records", "request", "place", "p.*")
+
+
+def _fields(r: Column) -> Column:
+    """A record's fields and their JSON types. Inside the list, so that each is read once however many rules ask for it."""
+    kind = {c: F.schema_of_variant(F.try_variant_get(r, f"$.{c}", "variant")) for c in (*TEXTS, *NUMBERS, *LISTS)}
+    kinds = F.struct(F.coalesce(F.schema_of_variant(r), F.lit("VOID")).alias("record"), *[F.nullif(k, F.lit("VOID")).alias(c) for c, k in kind.items()])
+    get = lambda c, wanted, t: F.when(wanted, F.try_variant_get(r, f"$.{c}", t))
+    text = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    return F.struct(
+        kinds.alias("kinds"),
+        *[get(c, kind[c] == "STRING", "string").alias(c) for c in TEXTS],
+        *[get(c, kind[c].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "double").alias(c) for c in NUMBERS],
+        *[F.transform(get(c, kind[c].startswith("ARRAY"), "array<variant>"), text).alias(c) for c in LISTS],
+    )
 
 
 def _blank(c: str) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
 
 
-def _number(c: str) -> Column:
-    return F.expr(f"try_cast({c} AS double)")
-
-
 def _day(c: str) -> Column:
     """A date written YYYY-MM-DD of the years 2000 to 2100; null for any other text."""
     day = F.when(F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.expr(f"try_cast({c} AS date)"))
@@ -42,65 +62,68 @@ def _day(c: str) -> Column:
 
 
 def rules(categories: tuple[str, ...], work_types: tuple[str, ...]) -> list[tuple[str, Column]]:
-    """(code, failing condition) in the order in which the first failing one is reported."""
-    described = ~_blank("descriptionTh") | ~_blank("descriptionEn")
-    source, budget = F.col("descriptionSource"), _number("budgetAmount")
-    foreign = lambda c, known: F.exists(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNull() | ~x.isin(*known))
+    """(code, failing condition) in the order in which the first failing one is reported. A value of a wrong type breaks its field's rule."""
+    there = lambda c: F.col(f"kinds.{c}").isNotNull()
+    mistyped = lambda c: there(c) & F.col(c).isNull()
+    foreign = lambda c, known: mistyped(c) | F.exists(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNull() | ~x.isin(*known))
     repeats = lambda c: F.size(F.array_distinct(c)) < F.size(c)
-    named = lambda c: F.col(c).isNotNull() & _blank(c)
-    year = F.expr("try_cast(year AS double)")
+    named = lambda c: there(c) & _blank(c)
+    unknown = lambda c, known: there(c) & ~F.coalesce(F.col(c).isin(*known), F.lit(False))
+    described = ~_blank("descriptionTh") | ~_blank("descriptionEn")
+    amount = F.col("budgetAmount")
     return [
+        ("record: no object", ~F.col("kinds.record").startswith("OBJECT")),
         *[(f"{c}: empty", _blank(c)) for c in ("projectCode", "client", "projectName")],
-        ("descriptionSource: unknown", source.isNotNull() & ~source.isin(*DESCRIPTION_SOURCES)),
+        *[(f"{c}: no text", mistyped(c)) for c in ("descriptionTh", "descriptionEn", "budgetNote")],
+        ("descriptionSource: unknown", unknown("descriptionSource", DESCRIPTION_SOURCES)),
         ("descriptions: one alone", described & (_blank("descriptionTh") | _blank("descriptionEn"))),
-        ("descriptionSource: missing", described & source.isNull()),
-        ("descriptionSource: without description", ~described & source.isNotNull()),
+        ("descriptionSource: missing", described & ~there("descriptionSource")),
+        ("descriptionSource: without description", ~described & there("descriptionSource")),
         ("contractPath: empty", named("contractPath")),
         ("certificatePath: empty", named("certificatePath")),
-        ("paths: none", F.col("contractPath").isNull() & F.col("certificatePath").isNull()),
+        ("paths: none", ~there("contractPath") & ~there("certificatePath")),
         ("projectFolderPath: empty", named("projectFolderPath")),
-        ("projectFolderPath: not in the archive", F.col("projectFolderPath").isNotNull() & ~F.col("projectFolderPath").rlike(PROJECT_FOLDER)),
-        ("budgetAmount: no number from 0", F.col("budgetAmount").isNotNull() & (budget.isNull() | F.isnan(budget) | (budget < 0) | (budget == float("inf")))),
-        ("budgetSource: unknown", F.col("budgetSource").isNotNull() & ~F.col("budgetSource").isin(*BUDGET_SOURCES)),
-        ("budgetSource: missing", F.col("budgetAmount").isNotNull() & F.col("budgetSource").isNull()),
-        ("budgetSource: without amount", F.col("budgetAmount").isNull() & F.col("budgetSource").isNotNull()),
-        ("vatStatus: unknown", F.col("vatStatus").isNotNull() & ~F.col("vatStatus").isin(*VAT_STATUSES)),
-        ("year: out of range", F.col("year").isNotNull() & (year.isNull() | (year != F.floor(year)) | ~year.between(*YEARS))),
-        ("certificateDate: no day", F.col("certificateDate").isNotNull() & _day("certificateDate").isNull()),
-        ("certificateDate: without certificatePath", F.col("certificateDate").isNotNull() & F.col("certificatePath").isNull()),
-        ("category: unknown", F.col("category").isNotNull() & ~F.col("category").isin(*categories)),
-        ("tags: unknown", foreign(F.col("tags"), categories)),
-        ("tags: repeated", repeats(F.col("tags"))),
-        ("tags: hold the category", F.array_contains(F.col("tags"), F.col("category"))),
-        ("workTypes: unknown", foreign(F.col("workTypes"), work_types)),
-        ("workTypes: repeated", repeats(F.col("workTypes"))),
+        ("projectFolderPath: not in the archive", there("projectFolderPath") & ~F.col("projectFolderPath").rlike(PROJECT_FOLDER)),
+        ("budgetAmount: no number from 0", mistyped("budgetAmount") | F.isnan(amount) | (amount < 0) | (amount == float("inf"))),
+        ("budgetSource: unknown", unknown("budgetSource", BUDGET_SOURCES)),
+        ("budgetSource: missing", there("budgetAmount") & ~there("budgetSource")),
+        ("budgetSource: without amount", ~there("budgetAmount") & there("budgetSource")),
+        ("vatStatus: unknown", unknown("vatStatus", VAT_STATUSES)),
+        ("year: out of range", mistyped("year") | (F.col("year") != F.floor("year")) | ~F.col("year").between(*YEARS)),
+        ("certificateDate: no day", there("certificateDate") & _day("certificateDate").isNull()),
+        ("certificateDate: without certificatePath", there("certificateDate") & ~there("certificatePath")),
+        ("category: unknown", unknown("category", categories)),
+        ("tags: unknown", foreign("tags", categories)),
+        ("tags: repeated", repeats("tags")),
+        ("tags: hold the category", F.array_contains("tags", F.col("category"))),
+        ("workTypes: unknown", foreign("workTypes", work_types)),
+        ("workTypes: repeated", repeats("workTypes")),
     ]
 
 
 def validated(rows: DataFrame, categories: tuple[str, ...], work_types: tuple[str, ...]) -> DataFrame:
-    """records() with `error`, the first rule that a record breaks (null for an accepted one)."""
+    """records() with `error`: the request's fault, else the first rule that a record breaks (null for an accepted one)."""
     first = F.coalesce(*[F.when(F.coalesce(cond, F.lit(False)), code) for code, cond in rules(categories, work_types)])
-    return rows.withColumn("error", F.when(F.col("n_records") > MOST_RECORDS, "request: too many records").otherwise(first))
+    return rows.withColumn("error", F.coalesce("request", first))
 
 
 def typed(rows: DataFrame) -> DataFrame:
     """Accepted records with the types of the stored cards; missing texts are blank, missing lists empty."""
     none = F.array().cast("array<string>")
     return rows.where("error IS NULL").select(
-        *[c for c in rows.columns if c not in (*TEXTS, "budgetAmount", "year", "tags", "workTypes", "error")],
+        *[c for c in rows.columns if c not in (*TEXTS, *NUMBERS, *LISTS, "kinds", "request", "error")],
         *["projectCode", "client", "projectName"],
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("descriptionTh", "descriptionEn", "budgetNote")],
         *["descriptionSource", "contractPath", "certificatePath", "projectFolderPath", "budgetSource", "vatStatus", "category"],
-        _number("budgetAmount").alias("budgetAmount"),
-        F.expr("try_cast(try_cast(year AS double) AS int)").alias("year"),
+        "budgetAmount",
+        F.col("year").cast("int").alias("year"),
         _day("certificateDate").alias("certificateDate"),
-        *[F.coalesce(c, none).alias(c) for c in ("tags", "workTypes")],
+        *[F.coalesce(c, none).alias(c) for c in LISTS],
     )
 
 
 BLANKS = ("descriptionTh", "descriptionEn", "budgetNote")
 NULLS = ("descriptionSource", "contractPath", "certificatePath", "projectFolderPath", "budgetAmount", "budgetSource", "vatStatus", "year", "certificateDate", "category")
-LISTS = ("tags", "workTypes")
 ALWAYS = ("client", "projectName")
 #: a lock, and the fields that a person has fixed with it
 LOCKS = {
@@ -111,12 +134,38 @@ LOCKS = {
 }
 
 
+def last_tags(cards: DataFrame, feed: DataFrame, order: str) -> DataFrame:
+    """projectCode, new_tags: the tags after the deliveries of a code in their order, where no lock holds.
+
+    Each delivery may bring tags and a category; tags lose the category that is in force after every delivery. So
+    what is left is the last list that was brought (or the stored one), without the category in force when it came
+    and without all that came later: no delivery has to wait for the one before it."""
+    brought = F.max(F.when(F.size("tags") > 0, F.col(order))).over(Window.partitionBy("projectCode"))
+    marked = feed.select("projectCode", order, "category", "tags", brought.alias("since"))
+    late = F.col("since").isNull() | (F.col(order) > F.col("since"))
+    folded = marked.groupBy("projectCode").agg(
+        F.max("since").alias("since"),
+        F.max_by("tags", F.when(F.size("tags") > 0, F.col(order))).alias("list"),
+        F.max_by("category", F.when(F.col("category").isNotNull() & ~late, F.col(order))).alias("then"),
+        F.min_by("category", order).alias("first"),
+        F.collect_set(F.when(late, F.col("category"))).alias("later"),
+    )
+    stored = cards.select("projectCode", F.lit(True).alias("there"), F.col("category").alias("old"), F.col("tags").alias("old_tags"))
+    rows = folded.join(stored, "projectCode", "left")
+    # stored tags meet the stored category too, if the first delivery has none
+    in_force = F.when(F.col("since").isNotNull(), F.coalesce("then", "old")).when(F.col("first").isNull(), F.col("old"))
+    # what creates a card is taken as it is
+    start = F.coalesce("list", F.when(F.col("there"), F.col("old_tags")))
+    out = F.filter(start, lambda t: ~F.coalesce(F.array_contains("later", t), F.lit(False)) & ~t.eqNullSafe(in_force))
+    return rows.select("projectCode", F.coalesce(out, F.array().cast("array<string>")).alias("new_tags"))
+
+
 def merge_cards(cards: DataFrame, feed: DataFrame, order: str = "seq") -> DataFrame:
     """Upsert of typed() records into cards (their fields and the four locks), the deliveries of a code in their order.
 
-    Blank texts, nulls and empty lists keep what is there; a locked group is left alone; tags lose the final
-    category. A code's deliveries are folded first (each field is the last that says something), so every card is
-    written once. Beside the card: created, n_updates, and the deliveries that each lock turned away."""
+    Blank texts, nulls and empty lists keep what is there; a locked group is left alone; after each delivery the
+    tags lose the category then in force (last_tags). Any other field is the last that says something, so every
+    card is written once. Beside the card: created, n_updates, and the deliveries that each lock turned away."""
     said = {**{c: F.col(c) != "" for c in BLANKS}, **{c: F.col(c).isNotNull() for c in NULLS}, **{c: F.size(c) > 0 for c in LISTS}, **{c: F.lit(True) for c in ALWAYS}}
     sends = {
         "budgetVerified": F.lit(True),
@@ -125,18 +174,17 @@ def merge_cards(cards: DataFrame, feed: DataFrame, order: str = "seq") -> DataFr
         "dateEdited": said["certificateDate"],
     }
     folded = feed.groupBy("projectCode").agg(
-        *[F.max_by(c, F.when(cond, F.col(order))).alias(f"new_{c}") for c, cond in said.items()],
+        *[F.max_by(c, F.when(cond, F.col(order))).alias(f"new_{c}") for c, cond in said.items() if c != "tags"],
         F.count("*").alias("n"),
         # a card's first delivery creates it, so it meets no lock: locks stand on stored cards alone
         *[F.count_if(cond).alias(f"sent_{lock}") for lock, cond in sends.items()],
     )
-    rows = cards.withColumn("stored", F.lit(True)).join(folded, "projectCode", "full")
+    rows = cards.withColumn("stored", F.lit(True)).join(folded.join(last_tags(cards, feed, order), "projectCode"), "projectCode", "full")
     stored = F.coalesce("stored", F.lit(False))
     locked = {c: F.coalesce(lock, F.lit(False)) for lock, fields in LOCKS.items() for c in fields}
     value = {c: F.when(locked.get(c, F.lit(False)), F.col(c)).otherwise(F.coalesce(f"new_{c}", c)) for c in said}
     value |= {c: F.coalesce(value[c], F.lit("")) for c in BLANKS}
     value |= {c: F.coalesce(value[c], F.array().cast("array<string>")) for c in LISTS}
-    value["tags"] = F.when(locked["tags"] | F.col("n").isNull(), value["tags"]).otherwise(F.filter(value["tags"], lambda t: ~t.eqNullSafe(value["category"])))
     n = F.coalesce("n", F.lit(0))
     return rows.select(
         "projectCode",
@@ -175,16 +223,25 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 83 == 0, F.array(F.lit("PROMO"), F.lit("PROMO"))).when(k % 4 == 1, F.array(F.lit("PROMO"))).alias("tags"),
         F.when(k % 89 == 0, F.array(F.lit("paint"))).when(k % 3 == 1, F.array(F.lit("rent"), F.lit("care"))).alias("workTypes"),
     )
-    parts = table(spark, sf_dir, "part").select("p_brand", k, record.alias("r"))
+    json = F.to_json(record)
+    # values of a wrong type, which no typed struct could hold
+    for n, field, wrong in ((97, r'"year":(\d+)', '"year":"$1"'), (101, r'"client":"[^"]*"', '"client":5'), (103, r'"tags":\["PROMO"\]', '"tags":"PROMO"'), (107, r'"budgetAmount":([\d.]+)', '"budgetAmount":"$1"'), (109, r"^.*$", "[7]")):
+        # a pattern that never matches leaves the others alone, and the record stands once in the plan
+        json = F.regexp_replace(json, F.when(k % n == 0, field).otherwise("(?!)"), F.lit(wrong))
+    parts = table(spark, sf_dir, "part").select("p_brand", k, json.alias("r"))
     # a request is a bounded batch: at most 100 consecutive part keys of a brand
-    batches = parts.groupBy("p_brand", F.floor(k / 100).alias("batch")).agg(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "r"))), lambda x: x["r"]).alias("projects"))
-    return batches.select("p_brand", "batch", F.to_json(F.struct("projects")).alias("body"))
+    batches = parts.groupBy("p_brand", F.floor(k / 100).alias("batch")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "r"))), lambda x: x["r"]), ",").alias("list"))
+    body = F.concat(F.lit('{"projects":['), "list", F.lit("]}"))
+    # some are cut off, some say nothing
+    turn = F.substring("p_brand", 7, 9).cast("int") + F.col("batch")
+    body = F.when(turn % 31 == 0, F.expr("left(concat('{\"projects\":[', list), 60)")).when(turn % 37 == 0, '{"projects":[]}').when(turn % 41 == 0, '{"projects":"none"}').otherwise(body)
+    return batches.select("p_brand", "batch", body.alias("body"))
 
 
 def v1_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule that each record of the feed breaks; accepted ones have none (S3, V1)."""
+    """The first rule that each record of the feed breaks, or its whole request (place -1); accepted ones have none (S3, V1)."""
     rows = validated(records(_requests(spark, sf_dir)), CATEGORIES, WORK_TYPES)
-    return rows.select("p_brand", "batch", "place", "projectCode", F.coalesce("error", F.lit("")).alias("error"))
+    return rows.select("p_brand", "batch", F.coalesce("place", F.lit(-1)).alias("place"), "projectCode", F.coalesce("error", F.lit("")).alias("error"))
 
 
 def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,9 +276,23 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted = typed(validated(records(_requests(spark, sf_dir)), CATEGORIES, WORK_TYPES))
-    # some codes are delivered a second time, with little to say
-    again = accepted.where("year % 4 = 0").select("projectCode", F.lit(2).alias("seq"), F.lit("second client").alias("client"), "projectName", *[F.lit("").alias(c) for c in BLANKS], *[F.lit(None).cast(accepted.schema[c].dataType).alias(c) for c in NULLS if c != "category"], F.lit("PROMO").alias("category"), *[F.array().cast("array<string>").alias(c) for c in LISTS])
-    feed = accepted.withColumn("seq", F.lit(1)).select(*again.columns).unionByName(again)
+    texts = lambda *words: F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    fields = ("client", "projectName", *BLANKS, *NULLS, *LISTS)
+
+    def delivery(seq: int, when: Column, client: str, category: str | None, tags: Column, works: Column) -> Column:
+        """A later delivery of some codes, with little to say."""
+        said = {"client": F.lit(client), "projectName": F.col("projectName"), "category": F.lit(category).cast("string"), "tags": tags, "workTypes": works}
+        silent = {**{c: F.lit("") for c in BLANKS}, **{c: F.lit(None).cast(accepted.schema[c].dataType) for c in NULLS}}
+        return F.when(when, F.struct(F.lit(seq).alias("seq"), *[(silent | said)[c].alias(c) for c in fields]))
+
+    year = F.coalesce("year", F.lit(1))
+    deliveries = F.array(
+        F.struct(F.lit(1).alias("seq"), *fields),
+        delivery(2, year % 4 == 0, "second client", "PROMO", texts(), texts()),
+        delivery(3, year % 8 == 0, "third client", "LARGE", texts(), texts()),
+        delivery(4, year % 3 == 0, "fourth client", None, texts("MEDIUM", "PROMO", "SMALL"), texts("care")),
+    )
+    feed = accepted.select("projectCode", F.inline(F.filter(deliveries, lambda d: d.isNotNull())))
     return merge_cards(_cards(spark, sf_dir), feed)
 
 
@@ -255,7 +326,7 @@ def dml8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _K = "p_partkey"
-RECORDS = f"""WITH r AS (SELECT p_brand, floor({_K} / 100)::BIGINT AS batch, {_K} AS k, p_name, p_type, p_retailprice,
+RECORDS = f"""WITH RECURSIVE r AS (SELECT p_brand, floor({_K} / 100)::BIGINT AS batch, {_K} AS k, p_name, p_type, p_retailprice,
   CASE WHEN {_K} % 17 = 0 THEN ' ' ELSE 'P-' || {_K} END AS code, CASE WHEN {_K} % 19 = 0 THEN '' ELSE p_brand END AS client,
   {_K} % 3 = 0 AS th, {_K} % 3 = 0 AND {_K} % 29 <> 0 AS en,
   CASE WHEN {_K} % 23 = 0 THEN 'manual' WHEN {_K} % 3 = 0 AND {_K} % 31 <> 0 THEN 'tor' WHEN {_K} % 37 = 0 THEN 'name' END AS src,
@@ -266,31 +337,43 @@ RECORDS = f"""WITH r AS (SELECT p_brand, floor({_K} / 100)::BIGINT AS batch, {_K
   CASE WHEN {_K} % 67 = 0 THEN 'maybe' WHEN {_K} % 6 = 0 THEN 'included' END AS vat, CASE WHEN {_K} % 71 = 0 THEN 1800 WHEN {_K} % 7 <> 0 THEN (2000 + {_K} % 25)::INTEGER END AS year,
   CASE WHEN {_K} % 73 = 0 THEN '2024-02-30' WHEN {_K} % 10 = 0 THEN '2024-0' || (1 + {_K} % 9) || '-15' END AS day,
   CASE WHEN {_K} % 79 = 0 THEN 'OTHER' WHEN {_K} % 8 <> 0 THEN p_type END AS category,
-  CASE WHEN {_K} % 83 = 0 THEN ['PROMO', 'PROMO'] WHEN {_K} % 4 = 1 THEN ['PROMO'] ELSE [] END AS tags, CASE WHEN {_K} % 89 = 0 THEN ['paint'] WHEN {_K} % 3 = 1 THEN ['rent', 'care'] ELSE [] END AS works FROM part),
-v AS (SELECT *, (row_number() OVER (PARTITION BY p_brand, batch ORDER BY k) - 1)::INTEGER AS place, CASE
-  WHEN code = ' ' THEN 'projectCode: empty' WHEN client = '' THEN 'client: empty' WHEN src = 'manual' THEN 'descriptionSource: unknown' WHEN th <> en THEN 'descriptions: one alone'
+  CASE WHEN {_K} % 83 = 0 THEN ['PROMO', 'PROMO'] WHEN {_K} % 4 = 1 THEN ['PROMO'] ELSE [] END AS tags, CASE WHEN {_K} % 89 = 0 THEN ['paint'] WHEN {_K} % 3 = 1 THEN ['rent', 'care'] ELSE [] END AS works, substr(p_brand, 7)::INTEGER + floor({_K} / 100)::BIGINT AS turn,
+  {_K} % 97 = 0 AND {_K} % 7 <> 0 AS year_text, {_K} % 101 = 0 AND {_K} % 19 <> 0 AS client_number, {_K} % 103 = 0 AND {_K} % 4 = 1 AND {_K} % 83 <> 0 AS tags_text, {_K} % 107 = 0 AND ({_K} % 2 = 0 AND {_K} % 47 <> 0) AS amount_text, {_K} % 109 = 0 AS no_object FROM part),
+b AS (SELECT p_brand, batch, CASE WHEN turn % 31 = 0 THEN 'request: no JSON' WHEN turn % 37 = 0 OR turn % 41 = 0 THEN 'request: no projects' END AS refused FROM r GROUP BY p_brand, batch, turn),
+v AS (SELECT r.*, (row_number() OVER (PARTITION BY p_brand, batch ORDER BY k) - 1)::INTEGER AS place, CASE
+  WHEN no_object THEN 'record: no object' WHEN code = ' ' THEN 'projectCode: empty' WHEN client = '' OR client_number THEN 'client: empty' WHEN src = 'manual' THEN 'descriptionSource: unknown' WHEN th <> en THEN 'descriptions: one alone'
   WHEN th AND src IS NULL THEN 'descriptionSource: missing' WHEN NOT th AND src IS NOT NULL THEN 'descriptionSource: without description' WHEN contract = ' ' THEN 'contractPath: empty'
-  WHEN contract IS NULL AND cert IS NULL THEN 'paths: none' WHEN folder = 'bad' THEN 'projectFolderPath: not in the archive' WHEN amount < 0 THEN 'budgetAmount: no number from 0' WHEN bsrc = 'guess' THEN 'budgetSource: unknown'
-  WHEN amount IS NOT NULL AND bsrc IS NULL THEN 'budgetSource: missing' WHEN amount IS NULL AND bsrc IS NOT NULL THEN 'budgetSource: without amount' WHEN vat = 'maybe' THEN 'vatStatus: unknown' WHEN year = 1800 THEN 'year: out of range'
+  WHEN contract IS NULL AND cert IS NULL THEN 'paths: none' WHEN folder = 'bad' THEN 'projectFolderPath: not in the archive' WHEN amount < 0 OR amount_text THEN 'budgetAmount: no number from 0' WHEN bsrc = 'guess' THEN 'budgetSource: unknown'
+  WHEN amount IS NOT NULL AND bsrc IS NULL THEN 'budgetSource: missing' WHEN amount IS NULL AND bsrc IS NOT NULL THEN 'budgetSource: without amount' WHEN vat = 'maybe' THEN 'vatStatus: unknown' WHEN year = 1800 OR year_text THEN 'year: out of range'
   WHEN day = '2024-02-30' THEN 'certificateDate: no day' WHEN day IS NOT NULL AND cert IS NULL THEN 'certificateDate: without certificatePath' WHEN category = 'OTHER' THEN 'category: unknown'
-  WHEN len(tags) = 2 THEN 'tags: repeated' WHEN list_contains(tags, category) THEN 'tags: hold the category' WHEN works = ['paint'] THEN 'workTypes: unknown' ELSE '' END AS error FROM r)"""
-CARDS = RECORDS + f""", a AS (SELECT *, coalesce(year % 4 = 0, false) AS twice FROM v WHERE error = ''),
+  WHEN tags_text THEN 'tags: unknown' WHEN len(tags) = 2 THEN 'tags: repeated' WHEN list_contains(tags, category) THEN 'tags: hold the category' WHEN works = ['paint'] THEN 'workTypes: unknown' ELSE '' END AS error FROM r JOIN b USING (p_brand, batch) WHERE refused IS NULL)"""
+#: the fields that every delivery may change are walked delivery by delivery
+CARDS = RECORDS + f""", a AS (SELECT * FROM v WHERE error = ''),
+d AS (SELECT code, 1 AS seq, client, category, tags, works, category IS NOT NULL OR len(tags) > 0 OR len(works) > 0 AS says FROM a
+  UNION ALL SELECT code, 2, 'second client', 'PROMO', [], [], true FROM a WHERE year % 4 = 0 UNION ALL SELECT code, 3, 'third client', 'LARGE', [], [], true FROM a WHERE year % 8 = 0
+  UNION ALL SELECT code, 4, 'fourth client', NULL, ['MEDIUM', 'PROMO', 'SMALL'], ['care'], true FROM a WHERE year % 3 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY seq) AS i FROM d),
 s AS (SELECT 'P-' || {_K} AS code, {_K} AS k, CASE WHEN {_K} % 11 = 0 THEN 'manual' ELSE 'name' END AS src, CASE WHEN {_K} % 3 = 0 THEN 5.0::DOUBLE END AS amount, CASE WHEN {_K} % 3 = 0 THEN 'contract' END AS bsrc,
   {_K} % 7 = 0 AS lb, {_K} % 13 = 0 AS lc, {_K} % 11 = 0 AS ld, {_K} % 9 = 0 AS lt FROM part WHERE {_K} % 5 <> 1),
-j AS (SELECT coalesce(s.code, a.code) AS code, s.code IS NOT NULL AS stored, a.code IS NOT NULL AS sent, coalesce(lb, false) AS lb, coalesce(lc, false) AS lc, coalesce(ld, false) AS ld, coalesce(lt, false) AS lt, s.src AS osrc, s.amount AS oamount, s.bsrc AS obsrc, s.k AS ok,
-  a.* EXCLUDE (code), CASE WHEN a.code IS NULL THEN 0 WHEN twice THEN 2 ELSE 1 END AS n, CASE WHEN twice THEN 'PROMO' ELSE category END AS newcat FROM s FULL JOIN a ON s.code = a.code),
-c AS (SELECT *, CASE WHEN lc THEN 'SMALL' ELSE coalesce(newcat, CASE WHEN stored THEN 'SMALL' END) END AS cat, CASE WHEN NOT lc AND len(tags) > 0 THEN tags WHEN stored THEN ['LARGE', 'PROMO'] ELSE [] END AS t FROM j)"""
+w AS (SELECT code, 0::BIGINT AS i, 'old client' AS client, 'SMALL' AS category, ['LARGE', 'PROMO'] AS tags, ['build'] AS works, lc, 0 AS turned FROM s
+  UNION ALL SELECT code, i, client, category, tags, works, false, 0 FROM o WHERE i = 1 AND code NOT IN (SELECT code FROM s)
+  UNION ALL SELECT w.code, o.i, o.client, CASE WHEN lc THEN w.category ELSE coalesce(o.category, w.category) END,
+    CASE WHEN lc THEN w.tags ELSE list_filter(CASE WHEN len(o.tags) > 0 THEN o.tags ELSE w.tags END, lambda x: x IS DISTINCT FROM coalesce(o.category, w.category)) END,
+    CASE WHEN lc OR len(o.works) = 0 THEN w.works ELSE o.works END, lc, turned + (lc AND says)::INTEGER FROM w JOIN o ON w.code = o.code AND o.i = w.i + 1),
+l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY code ORDER BY i DESC) = 1),
+c AS (SELECT l.code, l.client, l.category AS cat, l.tags AS t, l.works AS work, l.i AS n, turned, s.code IS NOT NULL AS stored, a.code IS NOT NULL AS sent, coalesce(lb, false) AS lb, coalesce(s.lc, false) AS lc, coalesce(ld, false) AS ld, coalesce(lt, false) AS lt,
+  s.src AS osrc, s.amount AS oamount, s.bsrc AS obsrc, s.k AS ok, a.* EXCLUDE (code, client, category, tags, works) FROM l LEFT JOIN s ON l.code = s.code LEFT JOIN a ON l.code = a.code)"""
 SQL = {
-    "v1_feed": RECORDS + " SELECT p_brand, batch, place, code AS \"projectCode\", error FROM v",
-    "dml2_cards": CARDS + """ SELECT code AS "projectCode", CASE WHEN NOT sent THEN 'old client' WHEN twice THEN 'second client' ELSE client END AS client, CASE WHEN sent THEN p_name ELSE 'old name' END AS "projectName",
+    "v1_feed": RECORDS + " SELECT p_brand, batch, place, CASE WHEN NOT no_object THEN code END AS \"projectCode\", error FROM v UNION ALL SELECT p_brand, batch, -1, NULL, refused FROM b WHERE refused IS NOT NULL",
+    "dml2_cards": CARDS + """ SELECT code AS "projectCode", client, CASE WHEN sent THEN p_name ELSE 'old name' END AS "projectName",
   CASE WHEN NOT ld AND th THEN p_name WHEN stored THEN 'old th' ELSE '' END AS "descriptionTh", CASE WHEN NOT ld AND en THEN upper(p_name) ELSE '' END AS "descriptionEn", CASE WHEN ld THEN osrc ELSE coalesce(src, osrc) END AS "descriptionSource",
   coalesce(contract, CASE WHEN stored THEN '/old/' || ok END) AS "contractPath", cert AS "certificatePath", folder AS "projectFolderPath", CASE WHEN lb THEN oamount ELSE coalesce(amount, oamount) END AS "budgetAmount", CASE WHEN lb THEN obsrc ELSE coalesce(bsrc, obsrc) END AS "budgetSource",
   CASE WHEN NOT lb THEN vat END AS "vatStatus", CASE WHEN stored THEN 'note' ELSE '' END AS "budgetNote", coalesce(year, CASE WHEN stored THEN 1999 END) AS year, CASE WHEN lt THEN '2020-01-01' ELSE coalesce(day, CASE WHEN stored THEN '2020-01-01' END) END AS "certificateDate", cat AS category,
-  array_to_string(CASE WHEN lc OR NOT sent THEN t ELSE list_filter(t, lambda x: x IS DISTINCT FROM cat) END, ',') AS tags, array_to_string(CASE WHEN NOT lc AND len(works) > 0 THEN works WHEN stored THEN ['build'] ELSE [] END, ',') AS "workTypes",
+  array_to_string(t, ',') AS tags, array_to_string(work, ',') AS "workTypes",
   lb AS "budgetVerified", lc AS "classificationEdited", ld AS "descriptionManual", lt AS "dateEdited", NOT stored AS created, CASE WHEN stored THEN n ELSE n - 1 END::BIGINT AS n_updates,
-  CASE WHEN lb THEN n ELSE 0 END::BIGINT AS "skipped_budgetVerified", CASE WHEN lc AND sent THEN (category IS NOT NULL OR len(tags) > 0 OR len(works) > 0)::INTEGER + twice::INTEGER ELSE 0 END::BIGINT AS "skipped_classificationEdited", CASE WHEN ld AND src IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS "skipped_descriptionManual", CASE WHEN lt AND day IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS "skipped_dateEdited" FROM c""",
+  CASE WHEN lb THEN n ELSE 0 END::BIGINT AS "skipped_budgetVerified", turned::BIGINT AS "skipped_classificationEdited", CASE WHEN ld AND src IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS "skipped_descriptionManual", CASE WHEN lt AND day IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS "skipped_dateEdited" FROM c""",
     "dml2_report": CARDS + """ SELECT count(*) FILTER (NOT stored) AS created, sum(CASE WHEN stored THEN n ELSE n - 1 END)::BIGINT AS updated, sum(CASE WHEN lb THEN n ELSE 0 END)::BIGINT AS "skipped_budgetVerified",
-  sum(CASE WHEN lc AND sent THEN (category IS NOT NULL OR len(tags) > 0 OR len(works) > 0)::INTEGER + twice::INTEGER ELSE 0 END)::BIGINT AS "skipped_classificationEdited", count(*) FILTER (ld AND src IS NOT NULL) AS "skipped_descriptionManual", count(*) FILTER (lt AND day IS NOT NULL) AS "skipped_dateEdited" FROM c""",
+  sum(turned)::BIGINT AS "skipped_classificationEdited", count(*) FILTER (ld AND src IS NOT NULL) AS "skipped_descriptionManual", count(*) FILTER (lt AND day IS NOT NULL) AS "skipped_dateEdited" FROM c""",
     "dml6_insert_ignore": "WITH t AS (SELECT l_orderkey, l_linenumber, min(l_partkey) FILTER (l_returnflag = 'N') AS old, min(l_partkey) FILTER (l_returnflag <> 'N') AS new FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_linenumber, coalesce(old, new) AS ref, CASE WHEN old IS NULL THEN 'added' ELSE 'kept' END AS kind FROM t",
     "dml8_copies": "SELECT (SELECT max(o_orderkey) FROM orders) + 1 + o_orderkey AS o_orderkey, 7::BIGINT AS o_custkey, 'draft' AS o_orderstatus, o_totalprice, 'copy of ' || o_orderkey AS title FROM orders WHERE o_orderstatus = 'O'",
 }
