@@ -1,7 +1,7 @@
 """Every registered query with its oracle SQL, gathered from the plan modules."""
 
-from . import catalog, derivations, facets, feed, kernels, merges, questions, records, retrieval, review, rollups, scalars, search, sequences, sinks
+from . import catalog, derivations, facets, feed, kernels, lives, merges, questions, records, retrieval, review, rollups, scalars, search, sequences, sinks
 
-MODULES = [search, catalog, facets, rollups, sequences, merges, retrieval, kernels, derivations, questions, scalars, feed, review, sinks, records]
+MODULES = [search, catalog, facets, lives, rollups, sequences, merges, retrieval, kernels, derivations, questions, scalars, feed, review, sinks, records]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
