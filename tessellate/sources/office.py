@@ -59,19 +59,23 @@ def xlsx_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
     for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{X}sheet"):
         if sheet.get("state", "visible") != "visible":
             continue
-        for c in ElementTree.fromstring(z.read("xl/" + targets[sheet.get(REL)].removeprefix("/xl/"))).iter(f"{X}c"):
-            kind, v = c.get("t", "n"), c.find(f"{X}v")
-            text = (v.text or "") if v is not None else ""
-            if kind == "s":
-                text = shared[int(text)]
-            elif kind == "inlineStr":
-                text = unescape("".join(t.text or "" for t in c.iter(f"{X}t")))
-            elif kind == "b":
-                text = "TRUE" if text == "1" else "FALSE"
-            elif kind == "e":
-                text = ""
-            ref = c.get("r")
-            yield sheet.get("name"), int(re.search(r"\d+", ref)[0]) - 1, _column(ref), text
+        row = -1
+        for line in ElementTree.fromstring(z.read("xl/" + targets[sheet.get(REL)].removeprefix("/xl/"))).iter(f"{X}row"):
+            # rows and cells without a reference follow the one before
+            row, col = int(line.get("r", row + 2)) - 1, -1
+            for c in line.findall(f"{X}c"):
+                kind, v, ref = c.get("t", "n"), c.find(f"{X}v"), c.get("r")
+                col = _column(ref) if ref else col + 1
+                text = (v.text or "") if v is not None else ""
+                if kind == "s":
+                    text = shared[int(text)]
+                elif kind == "inlineStr":
+                    text = unescape("".join(t.text or "" for t in c.iter(f"{X}t")))
+                elif kind == "b":
+                    text = "TRUE" if text == "1" else "FALSE"
+                elif kind == "e":
+                    text = ""
+                yield sheet.get("name"), row, col, text
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
