@@ -137,11 +137,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model | None:
                 part = b.slice(k, 128)
                 x = features(part.column(0).to_pylist())
                 rows = [(np.flatnonzero(r).astype("<u2"), r) for r in x]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([i.tobytes() for i, _ in rows]), pa.array([r[i].tobytes() for i, r in rows])], ["lang", "at", "value"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([i.tobytes() for i, _ in rows]), pa.array([r[i].tobytes() for i, r in rows])], ["doc_id", "lang", "at", "value"])
 
     # at most `sample` ids and languages: small enough to broadcast, so texts are not shuffled
-    chosen = docs.select("doc_id", "text", "lang").join(few, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).select("text", "lang")
-    rows = chosen.mapInArrow(run, "lang string, at binary, value binary").collect()
+    # of a repeated id the least text, and all in the order of ids: a task that runs again learns the same
+    chosen = docs.select("doc_id", "text", "lang").join(few, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "doc_id", "lang")
+    rows = sorted(chosen.mapInArrow(run, "doc_id long, lang string, at binary, value binary").collect(), key=lambda r: (r["doc_id"], r["lang"]))
     x = np.zeros((len(rows), 1 << BITS), np.float32)
     for k, r in enumerate(rows):
         x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["value"], np.float32)

@@ -9,7 +9,7 @@ Defined results: components become floor(scale * x); vectors that are null or ho
 components, and rows without an id, take no part; only vectors of equal length meet; ties go to the
 smaller id; repeated ids are rows of their own (a query leaves out its own row only); an empty table gives
 an empty result; other columns are ignored. Products are exact whatever the components; a score that is
-returned and doesn't fit 64 bits raises OverflowError.
+returned and doesn't fit 64 bits raises OverflowError, as does a finite component that its scale takes beyond doubles.
 """
 
 from __future__ import annotations
@@ -55,8 +55,10 @@ def shards(vectors: DataFrame, query_every: int, scale: int, parts: int, shard_r
                 if vec_id is None or not v.is_valid or v.values.null_count:
                     continue
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if not np.isfinite(scale * x).all():
+                if not np.isfinite(x).all():
                     continue
+                if not np.isfinite(scale * x).all():
+                    raise OverflowError(f"a component of vector {vec_id} is too large to be scaled")
                 waiting.setdefault(len(x), []).append((vec_id, x))
                 if len(waiting[len(x)]) >= 2 * shard_rows:
                     yield tile(len(x))

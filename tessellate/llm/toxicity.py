@@ -132,11 +132,13 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
                 found, starts = grams([t or "" for t in part.column(0).to_pylist()], again=False)
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([found[a:z].astype("<u4").tobytes() for a, z in zip(starts, starts[1:])])], ["toxic", "bag"])
+                bags = pa.array([found[a:z].astype("<u4").tobytes() for a, z in zip(starts, starts[1:])])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), bags], ["doc_id", "toxic", "bag"])
 
     # at most `limit` labels of two numbers: small enough to broadcast, so texts are not shuffled
-    chosen = docs.select("doc_id", "text").join(few, "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
-    rows = chosen.mapInArrow(run, "toxic int, bag binary").collect()
+    # of a repeated id the least text, and all in the order of ids: a task that runs again learns the same
+    chosen = docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "doc_id", "toxic")
+    rows = sorted(chosen.mapInArrow(run, "doc_id long, toxic int, bag binary").collect(), key=lambda r: r["doc_id"])
     return train([np.frombuffer(r["bag"], "<u4") for r in rows], np.array([int(r["toxic"] > 0) for r in rows], int))
 
 

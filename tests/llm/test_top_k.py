@@ -31,3 +31,9 @@ def test_scores_beyond_64_bits_raise(spark):
     df = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e18, 2.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="Overflow|too large"):
         top_k.top_k(df).collect()
+
+
+def test_finite_components_are_never_dropped(spark):
+    df = spark.createDataFrame([(0, [1e307, 0.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        top_k.top_k(df).collect()
