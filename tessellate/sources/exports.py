@@ -58,7 +58,7 @@ def sheet_rows(rows: DataFrame, book: Column, number: int, name: str | Column, o
 
 
 def write_books(rows: DataFrame, path: str, kind: str = "xlsx", head: str = "") -> None:
-    """Rows (book, number, sheet, place, line) to one file a book below path. csv has no sheets; its head stands above the lines."""
+    """Rows (book, number, sheet, place, line) to one file a book below path (a URI); slashes in a book's name become underscores. csv has no sheets; its head stands above the lines."""
     rows.sparkSession.dataSource.register(Export)
     placed = rows.repartition("book").sortWithinPartitions("book", "number", "sheet", "place")
     placed.select("book", "sheet", "line").write.format(Export.name()).mode("append").option("path", path).option("kind", kind).option("head", head).save()
@@ -78,7 +78,7 @@ class Export(DataSource):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[str]
+    files: list[tuple[str, str]]
 
 
 class ExportWriter(DataSourceArrowWriter):
@@ -102,10 +102,10 @@ class ExportWriter(DataSourceArrowWriter):
                     folder = f"{self.staging}/{uuid.uuid4().hex}"
                     system, where = self._at(folder)
                     system.create_dir(where, recursive=True)
-                    file = f"{name}.{self.kind}"
+                    file = f"{name.replace('/', '_')}.{self.kind}"
                     stream = system.open_output_stream(f"{where}/{file}", compression=None)
                     out, book = (Workbook if self.kind == "xlsx" else Csv)(stream, self.head), name
-                    files.append(f"{folder}/{file}")
+                    files.append((folder, file))
                 out.add(sheet, line)
         if out:
             out.close()
@@ -113,10 +113,10 @@ class ExportWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list) -> None:
         for m in messages:
-            for file in m.files if m else ():
-                system, where = self._at(file)
-                _, folder = self._at(self.path)
-                system.move(where, f"{folder}/{where.rpartition('/')[2]}")
+            for folder, file in m.files if m else ():
+                # a file's name may hold what a URI can't
+                system, where = self._at(folder)
+                system.move(f"{where}/{file}", f"{self._at(self.path)[1]}/{file}")
         self._clear()
 
     def abort(self, messages: list) -> None:

@@ -2,6 +2,7 @@
 
 import io
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,17 +18,17 @@ def files(path):
 
 def book(spark, n):
     rows = spark.range(n).select("id", F.when(F.col("id") % 3 != 0, F.concat(F.lit("<&\n\x01_x0041_ ใบ "), F.col("id").cast("string"))).alias("text"), F.date_add(F.to_date(F.lit("2024-02-28")), F.col("id").cast("int")).alias("day"))
-    return X.sheet_rows(rows, F.concat(F.lit("b"), F.col("id") % 2), 0, "A/b: c", [-F.col("id")], {"No": X.number_cell(F.col("id")), "Text": X.text_cell(F.col("text")), "Day": X.date_cell(F.col("day"))})
+    return X.sheet_rows(rows, F.concat(F.lit("b "), F.col("id") % 2), 0, "A/b: c", [-F.col("id")], {"No": X.number_cell(F.col("id")), "Text": X.text_cell(F.col("text")), "Day": X.date_cell(F.col("day"))})
 
 
 def test_workbooks_read_back(spark, tmp_path):
     X.write_books(book(spark, 9), f"file://{tmp_path}/out")
-    assert files(f"{tmp_path}/out") == ["b0.xlsx", "b1.xlsx"]
-    got = {(r.path[-7:-5], r.row, r.col): (r.part, r.text) for r in office.read_cells(spark, f"{tmp_path}/out").collect()}
+    assert files(f"{tmp_path}/out") == ["b 0.xlsx", "b 1.xlsx"]
+    got = {(re.search(r"b(?: |%20)(\d)", r.path)[1], r.row, r.col): (r.part, r.text) for r in office.read_cells(spark, f"{tmp_path}/out").collect()}
     assert {v[0] for v in got.values()} == {"A b  c"}
-    assert [got["b1", 0, c][1] for c in range(3)] == ["No", "Text", "Day"]
-    assert [got["b1", r, 0][1] for r in range(1, 5)] == ["7", "5", "3", "1"]
-    assert got["b1", 1, 1][1] == "<&\n_x0041_ ใบ 7" and got["b1", 3, 1][1] == "" and got["b0", 5, 2][1] == str(45350)
+    assert [got["1", 0, c][1] for c in range(3)] == ["No", "Text", "Day"]
+    assert [got["1", r, 0][1] for r in range(1, 5)] == ["7", "5", "3", "1"]
+    assert got["1", 1, 1][1] == "<&\n_x0041_ ใบ 7" and got["1", 3, 1][1] == "" and got["0", 5, 2][1] == str(45350)
 
 
 def test_a_full_sheet_goes_on_in_another(monkeypatch):
@@ -48,7 +49,7 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
     path = f"{tmp_path}/out"
     X.write_books(book(spark, 4), f"file://{path}")
     before = files(path)
-    bad = book(spark, 400).withColumn("line", F.when((F.col("place") == 150) & (F.col("book") == "b1"), F.raise_error(F.lit("damaged"))).otherwise(F.col("line")))
+    bad = book(spark, 400).withColumn("line", F.when((F.col("place") == 150) & (F.col("book") == "b 1"), F.raise_error(F.lit("damaged"))).otherwise(F.col("line")))
     with pytest.raises(Exception):
         X.write_books(bad.withColumn("book", F.concat(F.lit("z"), "book")), f"file://{path}")
     assert files(path) == before and not [d for d in os.listdir(path) if d.startswith("_staging")]
