@@ -3,37 +3,33 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+#: monotonically_increasing_id holds the task's number above this bit and the row's number below it.
+TASK_BIT = 33
 
-def global_places(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
-    """df with each row's 1-based place in a total order: rows are numbered inside range-sorted partitions, then offset.
 
-    One shuffle; only a count of each partition meets in one task. The numbered rows are checkpointed, since a
-    second run could draw other range borders."""
-    spark = df.sparkSession
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Makes checkpoints possible: in the folder the cluster names; a local master may use its own disk."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part, row = TaskContext.get().partitionId(), 0
-        for b in batches:
-            places = pa.array(range(row + 1, row + 1 + b.num_rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), places], [*b.schema.names, "_part", "_row"])
-            row += b.num_rows
+def global_places(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """df with each row's 1-based place (long) in a total order: rows are numbered inside range-sorted partitions, then offset.
 
-    kinds = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_row", T.LongType())])
-    numbered = df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, kinds).checkpoint()
-    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
+    One shuffle; only a count of each partition meets in one task. The numbered rows are checkpointed, since a
+    second run could draw other range borders."""
+    shared_checkpoints(df.sparkSession)
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = sorted_rows.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_at", TASK_BIT)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return numbered.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_row")).cast("int")).drop("_part", "_row", "_before")
+    row = F.col("_at").bitwiseAND((1 << TASK_BIT) - 1) + 1
+    return numbered.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + row).drop("_part", "_at", "_before")

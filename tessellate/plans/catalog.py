@@ -140,9 +140,9 @@ SQL = {
     "f5_tag_filter": TAGGED + " SELECT o_orderkey, array_to_string(tags, ',') AS tags FROM g WHERE (o_orderstatus = 'O' OR list_has_any(tags, ['R', 'A'])) AND NOT list_contains(tags, 'N')",
     "a7_zero_filled_facet": TAGGED + ", t AS (SELECT unnest(list_distinct(list_append(tags, o_orderstatus))) AS term FROM g) SELECT d.term, count(t.term) AS n FROM (SELECT unnest(['A', 'F', 'N', 'O', 'P', 'R', 'X']) AS term) d LEFT JOIN t ON d.term = t.term GROUP BY d.term",
     "f9_newer_than": "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders WHERE o_orderdate >= DATE '1999-03-01'",
-    "f11_haystack": "WITH h AS (SELECT *, month(o_orderdate)::INTEGER AS month, o_orderpriority || ' ' || o_orderkey || ' ' || month(o_orderdate) || ' ' || year(o_orderdate) || ' ' || month(o_orderdate) || '/' || year(o_orderdate) AS hay FROM orders) SELECT o_orderkey, month, row_number() OVER (ORDER BY month, o_totalprice, o_orderkey)::INTEGER AS place FROM h WHERE o_orderstatus = 'F' AND contains(lower(hay), '7 1997 7/1997')",
-    "o2_null_last_sort": "WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN floor(c_acctbal)::BIGINT END AS budget, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 11)::INTEGER END AS yr FROM customer) SELECT *, row_number() OVER (ORDER BY budget DESC NULLS LAST, yr DESC NULLS LAST, c_custkey)::INTEGER AS place FROM c",
-    "w9_main_first": "SELECT p_partkey, row_number() OVER (ORDER BY p_type <> 'ECONOMY', p_size DESC, p_partkey)::INTEGER AS place FROM part WHERE p_type = 'ECONOMY' OR contains(lower(p_name), 'ring')",
+    "f11_haystack": "WITH h AS (SELECT *, month(o_orderdate)::INTEGER AS month, o_orderpriority || ' ' || o_orderkey || ' ' || month(o_orderdate) || ' ' || year(o_orderdate) || ' ' || month(o_orderdate) || '/' || year(o_orderdate) AS hay FROM orders) SELECT o_orderkey, month, row_number() OVER (ORDER BY month, o_totalprice, o_orderkey) AS place FROM h WHERE o_orderstatus = 'F' AND contains(lower(hay), '7 1997 7/1997')",
+    "o2_null_last_sort": "WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN floor(c_acctbal)::BIGINT END AS budget, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 11)::INTEGER END AS yr FROM customer) SELECT *, row_number() OVER (ORDER BY budget DESC NULLS LAST, yr DESC NULLS LAST, c_custkey) AS place FROM c",
+    "w9_main_first": "SELECT p_partkey, row_number() OVER (ORDER BY p_type <> 'ECONOMY', p_size DESC, p_partkey) AS place FROM part WHERE p_type = 'ECONOMY' OR contains(lower(p_name), 'ring')",
     "k11_relaxation": f"SELECT t AS try, name, n FROM (VALUES {_RELAX}) v(t, name, n) WHERE n > 0 ORDER BY t LIMIT 1",
     "f22_chips": "SELECT count(*) FILTER (o_totalprice > 100000 AND o_orderstatus = 'F') AS n_f, count(*) FILTER (o_totalprice > 100000 AND o_orderstatus = 'O') AS n_o, count(*) FILTER (o_totalprice > 100000 AND o_orderstatus = 'P') AS n_p, count(*) FILTER (o_totalprice > 100000) AS n_all, count(*) AS n_total, count(*) FILTER (o_orderpriority = '1-URGENT') AS n_urgent FROM orders",
     "a26_group_headers": "WITH h AS (SELECT o_custkey, count(*) AS n_rows, count(*) FILTER (o_orderstatus = 'F') AS n_settled, count(*) FILTER (o_orderstatus = 'P') AS n_review FROM orders GROUP BY 1) SELECT o_orderkey, o_custkey, n_rows, n_settled, n_review FROM orders JOIN h USING (o_custkey) WHERE o_totalprice > 400000 AND n_rows >= 5",

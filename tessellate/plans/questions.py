@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.scan import ordered_scan
 from .search import table
 
 CERTIFICATE_YEARS = (1, 3, 5, 10)
@@ -56,34 +59,21 @@ def split_items(lines: DataFrame) -> DataFrame:
     'N. text' begins an item if N follows the last one; 1 begins a new part (an annex) or the first; any other
     line goes on with its item, and lines before the first item are left out."""
 
-    def run(batches):
-        import re
-
-        import pyarrow as pa
-
-        doc, part, number = object(), 0, 0
-        for b in batches:
-            out = []
-            for d, pos, text in zip(*(c.to_pylist() for c in b.columns)):
-                if d != doc:
-                    doc, part, number = d, 0, 0
-                head = re.match(r"\s*(\d+)[.)]\s+(\S.*)", S_digits(text or ""))
-                n = int(head[1]) if head else 0
-                if head and n == 1 and (number != 1 or part == 0):
-                    part, number = part + 1, 1
-                elif head and number and n == number + 1:
-                    number = n
-                else:
-                    head = None
-                if part:
-                    out.append((d, part, number, pos, head[2] if head else (text or "").strip()))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()))], ["doc_id", "part", "number", "position", "text"])
+    def step(state, text):
+        part, number = state
+        head = re.match(r"\s*(\d+)[.)]\s+(\S.*)", (text or "").translate(digits))
+        n = int(head[1]) if head else 0
+        if n == 1 and (number != 1 or part == 0):
+            part, number = part + 1, 1
+        elif head and number and n == number + 1:
+            number = n
+        else:
+            head = None
+        return [part, number], (part, number, head[2] if head else (text or "").strip())
 
     digits = str.maketrans(S.THAI_DIGITS, "0123456789")
-    S_digits = lambda t: t.translate(digits)
-    ordered = lines.select("doc_id", "position", "text").repartition("doc_id").sortWithinPartitions("doc_id", "position")
-    rows = ordered.mapInArrow(run, "doc_id long, part int, number int, position long, text string")
+    scanned = ordered_scan(lines.select("doc_id", "position", F.col("text").alias("line")), "doc_id", ["position"], ["line"], [0, 0], step, "part int, number int, text string")
+    rows = scanned.where("part > 0")
     # an item's lines: bounded by its document
     return rows.groupBy("doc_id", "part", "number").agg(F.min("position").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), " ").alias("text"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import ordered_scan
 from .search import table
 
 NOW = "2024-01-03 12:00:00"
@@ -86,24 +87,14 @@ def c4_next_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c1_fixed_windows(events: DataFrame, key: str = "user_id", ts: str = "ts", window_s: int = 60, limit: int = 120) -> DataFrame:
     """A window begins with a key's first request and ends more than window_s after it; requests over the limit are refused.
 
-    The scan of a key keeps only its window's begin and count, over rows that Spark sorts by key and time."""
+    The scan's state is the window's begin and count; a key's requests may fill many tasks."""
 
-    def run(batches):
-        import pyarrow as pa
+    def step(state, micros):
+        begin, n = state if state and micros - state[0] <= window_s * 1_000_000 else (micros, 0)
+        return [begin, n + 1], (n + 1, n + 1 > limit)
 
-        last, begin, n = None, 0, 0
-        for b in batches:
-            held, counts = [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if k != last or t - begin > window_s * 1_000_000:
-                    last, begin, n = k, t, 0
-                n += 1
-                counts.append(n)
-                held.append(n > limit)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64()), pa.array(held)], [*b.schema.names, "n", "limited"])
-
-    rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"), "event_id").repartition("key").sortWithinPartitions("key", "micros", "event_id")
-    return rows.mapInArrow(run, "key long, micros long, event_id long, n long, limited boolean")
+    rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"), "event_id")
+    return ordered_scan(rows, "key", ["micros", "event_id"], ["micros"], None, step, "n long, limited boolean")
 
 
 def c1_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
