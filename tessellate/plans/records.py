@@ -172,6 +172,16 @@ def s22_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "checksum", F.concat_ws("/", F.substring("checksum", 1, 2), F.substring("checksum", 3, 6), F.col("kept").cast("string")).alias("storage_key"), (F.col("doc_id") != F.col("kept")).alias("is_copy"))
 
 
+def s22_unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored files of removed documents that may be unlinked: no document that is left and no label refers to them."""
+    stored = s22_checksums(spark, sf_dir).select("doc_id", "storage_key")
+    removed = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
+    labelled = stored.join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi")
+    in_use = stored.where(~removed).select("storage_key").unionByName(labelled.select("storage_key"))
+    gone = stored.where(removed).groupBy("storage_key").agg(F.count("*").alias("n"))
+    return gone.join(in_use, "storage_key", "left_anti")
+
+
 def u2_copied_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log's entries copied into another with their own action names; counts of the joined log."""
     e, o = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders")
@@ -230,7 +240,7 @@ def f11_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-QUERIES = {f.__name__: f for f in (a3_column_totals, o3_record_list, a24_versions, p10_steps, c5_replayed, c4_claims, c8_retention, dml7_audit, a22_reported_names, v4_clash_rows, s12_log_lines, s4_new_codes, s20_written_back, s22_checksums, u2_copied_log, dml4_restored, t6_keywords, p9_state_texts, f11_types)}
+QUERIES = {f.__name__: f for f in (a3_column_totals, o3_record_list, a24_versions, p10_steps, c5_replayed, c4_claims, c8_retention, dml7_audit, a22_reported_names, v4_clash_rows, s12_log_lines, s4_new_codes, s20_written_back, s22_checksums, s22_unreferenced, u2_copied_log, dml4_restored, t6_keywords, p9_state_texts, f11_types)}
 _TYPED = ", ".join(f"CASE (l_partkey + {i}) % 4 WHEN 1 THEN floor(l_quantity) WHEN 3 THEN floor(l_quantity) + 0.5 ELSE 0 END AS {n}" for i, n in enumerate(AMOUNTS))
 SQL = {
     "a3_column_totals": f"WITH l AS (SELECT l_orderkey, {_TYPED} FROM lineitem WHERE l_orderkey % 10 <> 4), s AS (SELECT l_orderkey, {', '.join(f'sum({n}) AS {n}' for n in AMOUNTS)} FROM l GROUP BY 1) SELECT o_orderkey AS record, {', '.join(f'coalesce({n}, 0)::DOUBLE AS {n}' for n in AMOUNTS)}, coalesce({' + '.join(AMOUNTS)}, 0)::DOUBLE AS total FROM orders LEFT JOIN s ON o_orderkey = l_orderkey",
@@ -246,6 +256,7 @@ SQL = {
     "s12_log_lines": "SELECT user_id % 200 AS key, arg_max(event_type || ' ' || event_id, (ts, event_id)) AS text, count(*) AS entries FROM events WHERE event_id % 11 <> 0 AND event_type <> 'error' GROUP BY 1",
     "s4_new_codes": "SELECT DISTINCT 'P-' || l_partkey AS code FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)",
     "s20_written_back": "WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_linenumber, CASE WHEN p % 9 = 0 THEN 'missing' WHEN p % 7 = 0 THEN 'unasked' ELSE 'different' END AS problem FROM l WHERE p % 9 = 0 AND p % 7 <> 0 OR p % 9 <> 0 AND p % 7 = 0 OR p % 63 <> 0 AND p % 7 <> 0 AND p % 9 <> 0 AND p % 8 = 0 AND p % 10 <> 0",
+    "s22_unreferenced": "WITH d AS (SELECT doc_id, coalesce(source, '') AS s, sha256(coalesce(text, '')) AS c FROM documents), k AS (SELECT doc_id, c[1:2] || '/' || c[3:8] || '/' || min(doc_id) OVER (PARTITION BY s, c) AS storage_key FROM d) SELECT storage_key, count(*) AS n FROM k WHERE doc_id % 3 = 0 AND storage_key NOT IN (SELECT storage_key FROM k WHERE doc_id % 3 <> 0 OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) GROUP BY 1",
     "s22_checksums": "WITH d AS (SELECT doc_id, coalesce(source, '') AS s, sha256(coalesce(text, '')) AS c FROM documents), k AS (SELECT *, min(doc_id) OVER (PARTITION BY s, c) AS kept FROM d) SELECT doc_id, c AS checksum, c[1:2] || '/' || c[3:8] || '/' || kept AS storage_key, doc_id <> kept AS is_copy FROM k",
     "u2_copied_log": "WITH l AS (SELECT upper(event_type) AS action, ts::DATE AS day FROM events UNION ALL SELECT 'ORDER_' || o_orderstatus, o_orderdate::DATE FROM orders) SELECT action, count(*) AS n, min(day) AS first_day FROM l GROUP BY 1",
     "dml4_restored": "SELECT o_orderkey, o_custkey % 6 = 0 OR o_custkey % 4 <> 0 OR c_custkey IS NULL AS shown FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_custkey IS NULL OR c_custkey % 11 <> 0",

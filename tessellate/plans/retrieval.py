@@ -47,8 +47,8 @@ def f21_running_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(pages, "source").where("n >= 2").select("source", "line", "n", (2 * F.col("n") > F.col("pages")).alias("is_head"))
 
 
-def near_keys(keys: DataFrame, key: str, share: float = 0.2) -> DataFrame:
-    """Pairs of keys whose edit distance is at most a share of the longer one.
+def near_keys(keys: DataFrame, key: str, share: float = 0.2, within: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of keys (with equal `within` columns) whose edit distance is at most a share of the longer one.
 
     A key cut into k + 1 pieces keeps one of them through k edits, so pairs meet on an equal piece (its
     place, text and the longer key's length) within the band of lengths; no key meets all others. The piece with i
@@ -56,25 +56,25 @@ def near_keys(keys: DataFrame, key: str, share: float = 0.2) -> DataFrame:
     the lengths would have put it: else the edits before or behind it are more than those pieces' own, and one of
     them is left whole instead."""
     n = F.length(key)
-    k = keys.select(F.col(key).alias("k"), n.alias("n")).where("n > 0").distinct()
+    k = keys.select(*within, F.col(key).alias("k"), n.alias("n")).where("n > 0").distinct()
     # the edits that the longest partner of a key allows
     longest = F.floor(F.col("n") / (1 - share)).cast("int")
-    lengths = k.select("k", "n", F.explode(F.sequence(F.col("n"), longest)).alias("m"))
+    lengths = k.select(*within, "k", "n", F.explode(F.sequence(F.col("n"), longest)).alias("m"))
     edits = F.floor(F.col("m") * share).cast("int")
     pieces = lengths.withColumn("e", edits)
     cut = lambda i: (F.floor(F.col("n") * i / (F.col("e") + 1))).cast("int")
     # the shorter key of a pair is cut; the longer one offers every substring that a piece could have moved to
-    short = pieces.select("k", "n", "m", "e", F.explode(F.sequence(F.lit(0), F.col("e"))).alias("i")).select("k", "n", "m", "e", "i", cut(F.col("i")).alias("at"), (cut(F.col("i") + 1) - cut(F.col("i"))).alias("len")).where("len > 0")
-    short = short.select("k", "n", "m", F.expr("substr(k, at + 1, len)").alias("piece"), "at", "i")
-    sizes = short.groupBy("m", "n").agg(F.collect_set(F.struct("at", F.length("piece").alias("len"), "i")).alias("cuts"))
-    long = k.select(F.col("k").alias("k2"), F.col("n").alias("m")).join(sizes, "m").select("k2", "m", "n", F.explode("cuts").alias("c"))
+    short = pieces.select(*within, "k", "n", "m", "e", F.explode(F.sequence(F.lit(0), F.col("e"))).alias("i")).select(*within, "k", "n", "m", "e", "i", cut(F.col("i")).alias("at"), (cut(F.col("i") + 1) - cut(F.col("i"))).alias("len")).where("len > 0")
+    short = short.select(*within, "k", "n", "m", F.expr("substr(k, at + 1, len)").alias("piece"), "at", "i")
+    sizes = short.groupBy(*within, "m", "n").agg(F.collect_set(F.struct("at", F.length("piece").alias("len"), "i")).alias("cuts"))
+    long = k.select(*within, F.col("k").alias("k2"), F.col("n").alias("m")).join(sizes, [*within, "m"]).select(*within, "k2", "m", "n", F.explode("cuts").alias("c"))
     long = long.withColumn("e", F.floor(F.col("m") * share).cast("int"))
     at, i, j, moved = F.col("c.at"), F.col("c.i"), F.col("e") - F.col("c.i"), F.col("m") - F.col("n")
     first, last = F.greatest(F.lit(0), at - i, at + moved - j), F.least(F.col("m") - F.col("c.len"), at + i, at + moved + j)
     long = long.withColumn("first", first.cast("int")).withColumn("last", last.cast("int")).where("first <= last")
-    long = long.select("k2", "m", "n", "c.at", "c.len", F.explode(F.sequence("first", "last")).alias("p"))
-    long = long.select("k2", "m", "n", "at", F.expr("substr(k2, p + 1, len)").alias("piece")).distinct()
-    pairs = short.join(long, ["m", "n", "at", "piece"]).where("k <> k2").select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
+    long = long.select(*within, "k2", "m", "n", "c.at", "c.len", F.explode(F.sequence("first", "last")).alias("p"))
+    long = long.select(*within, "k2", "m", "n", "at", F.expr("substr(k2, p + 1, len)").alias("piece")).distinct()
+    pairs = short.join(long, [*within, "m", "n", "at", "piece"]).where("k <> k2").select(*within, F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
     most = F.floor(F.greatest(F.length("a"), F.length("b")) * share).cast("int")
     return pairs.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= most)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.places import global_places
 from .search import contains_ci, table
 
 # ---- review rows: axes, statuses and filters
@@ -302,9 +303,11 @@ def o5_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o10_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of each list in their set order, then by age."""
-    w = Window.partitionBy("p_type").orderBy("p_size", "p_partkey")
-    return table(spark, sf_dir, "part").select("p_type", "p_partkey", F.row_number().over(w).alias("place"))
+    """Entries of each list in their set order, then by age (O10): places in all lists, less those of the lists before."""
+    p = table(spark, sf_dir, "part").select("p_type", "p_partkey", "p_size")
+    placed = global_places(p, F.col("p_type"), F.col("p_size"), F.col("p_partkey"))
+    first = placed.groupBy(F.col("p_type").alias("t")).agg(F.min("place").alias("first"))
+    return placed.join(first, F.col("p_type").eqNullSafe(F.col("t"))).select("p_type", "p_partkey", (F.col("place") - F.col("first") + 1).alias("place"))
 
 
 def o12_number_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,7 +419,7 @@ SQL = {
     "s14_usable_text": r"SELECT doc_id, CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 200 THEN length(regexp_replace(text, '^\s+|\s+$', '', 'g'))::INTEGER END AS usable FROM documents",
     "m5_guards": "WITH e AS (SELECT event_id, value - 20 AS v, floor(value - 20) + CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 0 END AS y FROM events) SELECT event_id, CASE WHEN v > 0 THEN v END AS positive, CASE WHEN y = floor(y) AND y BETWEEN 1 AND 50 THEN y::INTEGER END AS years FROM e",
     "o5_newest": "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200",
-    "o10_dictionary": "SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_partkey)::INTEGER AS place FROM part",
+    "o10_dictionary": "SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_partkey) AS place FROM part",
     "o12_number_paths": "WITH l AS (SELECT DISTINCT l_orderkey, (l_suppkey % 12) AS a, l_linenumber AS b, l_partkey % 15 AS c FROM lineitem) SELECT l_orderkey, a || '.' || b || '.' || c AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY a, b, c)::INTEGER AS place FROM l",
     "f10_trash": "WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 3 <> 0 THEN 'live' WHEN event_id % 12 = 0 THEN 'restored' WHEN ts + INTERVAL 30 DAY <= TIMESTAMP '2024-02-02' THEN 'due' ELSE 'trashed' END AS state FROM events), b AS (SELECT * FROM e WHERE state = 'due' ORDER BY ts, event_id LIMIT 20) SELECT state, count(*) AS n, (SELECT max(event_id) FROM b) AS last_purged, (SELECT count(*) FROM b) AS n_purged FROM e GROUP BY 1",
     "j15_orphans": "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT c_custkey FROM customer WHERE c_acctbal > 5000)",

@@ -154,15 +154,16 @@ def stripped_pages(pages: DataFrame, share: float = 0.2) -> DataFrame:
     A head is one of a page's first HEAD_LINES lines, a foot one of its last FOOT_LINES; digits count alike. A line (of at
     most KEY_LENGTH characters: longer ones are the page's own text, which are heads only as exact repeats) goes
     if its key, or keys at most `share` of edits away from it, stand on more than half of the document's pages, of at
-    least three. Only the distinct keys of heads and feet are compared, by near_keys."""
+    least three. Only the distinct keys of one document's heads and feet are compared, by near_keys."""
     lines = pages.select("doc", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n"))
     key = F.trim(F.regexp_replace(F.regexp_replace(F.lower("raw"), r"\d+", "#"), r"\s+", " "))
     marked = lines.withColumn("key", key).withColumn("edge", (F.col("line") < HEAD_LINES) | (F.col("line") >= F.col("n") - FOOT_LINES))
     edges = marked.where("edge AND key <> ''").select("doc", "page", "key").distinct()
-    near = near_keys(edges.where(F.length("key") <= KEY_LENGTH).select("key").distinct(), "key", share).select("a", "b")
-    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(edges.select(F.col("key").alias("a"), F.col("key").alias("b")).distinct())
-    counts = edges.join(near, F.col("key") == F.col("b")).select("doc", F.col("a").alias("key"), "page").distinct().groupBy("doc", "key").agg(F.count("*").alias("on"))
     total = pages.groupBy("doc").agg(F.count("*").alias("pages")).where("pages >= 3")
+    asked = edges.join(total, "doc", "left_semi").select("doc", "key").distinct()
+    near = near_keys(asked.where(F.length("key") <= KEY_LENGTH), "key", share, within=("doc",)).select("doc", "a", "b")
+    near = near.unionByName(near.select("doc", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(asked.select("doc", F.col("key").alias("a"), F.col("key").alias("b")))
+    counts = edges.join(near.withColumnRenamed("b", "key"), ["doc", "key"]).select("doc", F.col("a").alias("key"), "page").distinct().groupBy("doc", "key").agg(F.count("*").alias("on"))
     heads = counts.join(total, "doc").where("2 * on > pages").select("doc", "key", F.lit(True).alias("gone"))
     kept = marked.join(heads, ["doc", "key"], "left").where("NOT (edge AND coalesce(gone, false))")
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "raw"))), lambda x: x["raw"]), "\n")
