@@ -21,7 +21,7 @@ def token_share(rows: DataFrame, pages: DataFrame, top: int = 3, least_share: fl
 
 
 def k13_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages looked for in the documents of one source by their words of eight letters or more."""
+    """Benchmark passages looked for in all documents by their words of eight letters or more."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{8,})"), 1))
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), words(F.col("text")).alias("tokens"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), words(F.col("text")).alias("tokens"))
