@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,11 +98,20 @@ def relax(rows: DataFrame, tries: list[tuple[str, Column]]) -> DataFrame:
     return counts.select(F.get(found, 0).alias("f")).where("f IS NOT NULL").select("f.*")
 
 
-def runs_of_words(query: str, least: int = 3, most: int = 8) -> list[str]:
-    """Contiguous word runs shorter than the whole, longest first, then as they stand."""
+#: Thai vowel and tone marks, which stand on another letter; the fewest letters of a Thai run.
+THAI_MARKS = re.compile("[\u0e31\u0e34-\u0e3a\u0e47-\u0e4e]")
+THAI_LEAST = 4
+
+
+def runs_of_words(query: str, least: int = 3, most: int = 8, generic: tuple[str, ...] = ()) -> list[str]:
+    """Contiguous word runs shorter than the whole, longest first, then as they stand.
+
+    A run that is a generic word or too short is left out; Thai counts letters without marks. Words end at white space."""
     words = query.split()
-    runs = [" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1) if j - i < len(words)]
-    return sorted(dict.fromkeys(r for r in runs if len(r) >= least), key=lambda r: -len(r))[:most]
+    runs = dict.fromkeys(" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1) if j - i < len(words))
+    thai = re.compile("[\u0e00-\u0e7f]")
+    enough = lambda r: len(THAI_MARKS.sub("", r)) >= THAI_LEAST if thai.search(r) else len(r) >= least
+    return sorted((r for r in runs if enough(r) and r.lower() not in generic), key=lambda r: -len(r))[:most]
 
 
 def k11_relaxation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import re
 
+from tessellate.plans.catalog import runs_of_words
 from tessellate.plans.lookups import located_rows, matched_terms
 
 
@@ -79,3 +80,10 @@ def test_located_rows(spark):
         tables = {t: [(c or "", x) for c, x in rs] for t, rs in docs.get(r.doc_id, {}).items()}
         annexed = any(x for rs in tables.values() for _, x in rs)
         assert (r.table_no, r.place) == find(tables, annexed, r.row_number, r.item), r
+
+
+def test_runs_of_words():
+    assert runs_of_words("small purple ring") == ["small purple", "purple ring", "purple", "small", "ring"]
+    # "ข่าย" is three letters and a mark
+    assert runs_of_words("แม่ ข่าย ระบบงาน", generic=("ระบบงาน",)) == ["ข่าย ระบบงาน", "แม่ ข่าย"]
+    assert runs_of_words("MA System it", generic=("system",)) == ["MA System", "System it"] and runs_of_words("one") == []
