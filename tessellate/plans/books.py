@@ -51,8 +51,9 @@ def export_catalogue(cards: DataFrame, book: Column, path: str, conditions: dict
 
 
 def _read_back(spark: SparkSession, path: str) -> DataFrame:
-    cells = read_cells(spark, path).where("text <> ''")
-    return cells.select(F.regexp_extract("path", r"([^/]+)\.xlsx$", 1).alias("book"), F.col("part").alias("sheet"), "row", "col", "text")
+    # a book that can't be read stops the run: it must not go missing
+    cells = read_cells(spark, path).withColumn("text", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("text")))
+    return X.joined_sheets(cells.where("text <> ''")).select(F.regexp_extract("path", r"([^/]+)\.xlsx$", 1).alias("book"), F.col("part").alias("sheet"), "row", "col", "text")
 
 
 def s16_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:

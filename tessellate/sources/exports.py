@@ -64,6 +64,15 @@ def write_books(rows: DataFrame, path: str, kind: str = "xlsx", head: str = "")
     placed.select("book", "sheet", "line").write.format(Export.name()).mode("append").option("path", path).option("kind", kind).option("head", head).save()
 
 
+def joined_sheets(cells: DataFrame) -> DataFrame:
+    """Cells (part, row, ...) read back, with the sheets that a full one went on in joined to it: their rows follow, their headers go.
+
+    For books whose own sheets have names of at most 24 characters that don't end like ' (2)'."""
+    k = F.coalesce(F.expr(r"try_cast(regexp_extract(part, ' \\(([0-9]+)\\)$', 1) AS int)"), F.lit(1))
+    rows = cells.withColumn("_k", k).where("_k = 1 OR row > 0")
+    return rows.withColumns({"part": F.regexp_replace("part", r" \([0-9]+\)$", ""), "row": (F.col("row") + (F.col("_k") - 1) * (MOST_ROWS - 1)).cast("int")}).drop("_k")
+
+
 class Export(DataSource):
     @classmethod
     def name(cls) -> str:

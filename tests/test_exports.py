@@ -3,10 +3,12 @@
 import io
 import os
 import re
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessellate.plans import books
 from tessellate.sources import exports as X
 from tessellate.sources import office
 from tessellate.streaming import cells as C
@@ -45,6 +47,49 @@ def test_a_full_sheet_goes_on_in_another(monkeypatch):
     assert got == {"S": ["head", "1", "2", "3"], "S (2)": ["head", "4", "5", "6"], "S (3)": ["head", "7", "8"]}
 
 
+def test_sheets_of_any_length_are_read(spark, tmp_path, monkeypatch):
+    X.write_books(book(spark, 400).where("book = 'b 0'"), f"file://{tmp_path}/out")
+    content = (tmp_path / "out" / "b 0.xlsx").read_bytes()
+    whole = list(office.xlsx_cells(content))
+    # less than the sheet, more than each part that is read whole
+    monkeypatch.setattr(office, "MOST_BYTES", 5_000)
+    assert len(whole) == 201 * 3 and list(office.xlsx_cells(content)) == whole
+    monkeypatch.setattr(office, "MOST_BYTES", 100)
+    with pytest.raises(ValueError, match="too large"):
+        list(office.xlsx_cells(content))
+
+
+def test_a_file_damaged_at_its_end_gives_its_error_alone(spark, tmp_path):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {X._X} xmlns:r="{X._R}"><sheets><sheet name="S" sheetId="1" r:id="s1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{X._P}/relationships"><Relationship Id="s1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {X._X}><sheetData>" + "<row><c><v>1</v></c></row>" * 50_000 + "<row><c>")
+    (tmp_path / "a.xlsx").write_bytes(out.getvalue())
+    got = office.read_cells(spark, str(tmp_path)).collect()
+    assert [(r.part, r.row, r.text) for r in got] == [(None, None, None)] and got[0].error
+
+
+def test_full_sheets_are_joined_again(spark, monkeypatch):
+    monkeypatch.setattr(X, "MOST_ROWS", 4)
+    out = io.BytesIO()
+    out.close = lambda: None
+    w = X.Workbook(out, "")
+    for sheet in ("S", "Other (x)"):
+        for i in range(9):
+            w.add(sheet, f'<row><c t="inlineStr"><is><t>{"head" if i == 0 else i}</t></is></c></row>')
+    w.close()
+    cells = spark.createDataFrame(list(office.xlsx_cells(out.getvalue())), "part string, row int, col int, text string")
+    want = [(s, i, "head" if i == 0 else str(i)) for s in ("Other (x)", "S") for i in range(9)]
+    assert sorted((r.part, r.row, r.text) for r in X.joined_sheets(cells).collect()) == want
+
+
+def test_a_book_that_cannot_be_read_stops_the_run(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(b"no archive")
+    with pytest.raises(Exception, match="zip"):
+        books._read_back(spark, str(tmp_path)).collect()
+
+
 def test_a_failed_job_leaves_nothing(spark, tmp_path):
     path = f"{tmp_path}/out"
     X.write_books(book(spark, 4), f"file://{path}")
