@@ -1,4 +1,4 @@
-"""Places in a global order without gathering all rows in one task."""
+"""Places in a global order without gathering all rows in one task, and rows dealt out by a key."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: monotonically_increasing_id holds the task's number above this bit and the row's number below it.
 TASK_BIT = 33
+#: Rows of a task that by_key aims at.
+ROWS_A_TASK = 300_000
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
@@ -20,6 +22,13 @@ def shared_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
 
 
+def by_key(df: DataFrame, n_rows: int, *key: str) -> DataFrame:
+    """df dealt by a key to as many tasks as its rows fill, so that a task's memory doesn't grow with the input.
+
+    Spark's own sizes go by compressed bytes, which hold far more rows than a task's sorts and maps should."""
+    return df.repartition(-(-n_rows // ROWS_A_TASK) or 1, *key)
+
+
 def global_places(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
     """df with each row's 1-based place (long) in a total order: rows are numbered inside range-sorted partitions, then offset.
 

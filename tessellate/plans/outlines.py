@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.outline import outline
+from ..operators.places import by_key
 from ..operators.scan import ordered_scan
 from .search import table
 from .sequences import c3_leases
@@ -71,16 +72,19 @@ def siblings(rows: DataFrame) -> DataFrame:
     scope = F.sum(F.coalesce(F.col("annex").cast("int"), F.lit(0))).over(Window.partitionBy("doc_id").orderBy("position"))
     own = rows.select("doc_id", scope.alias("scope"), F.regexp_replace("item", r"\.$", "").alias("item")).where(F.col("item").rlike(r"(^|\.)[0-9]+$"))
     n = F.expr("try_cast(regexp_extract(item, '([0-9]+)$', 1) AS long)")
-    seen = own.select("doc_id", "scope", F.regexp_replace("item", r"\.?[0-9]+$", "").alias("parent"), n.alias("n")).where("n IS NOT NULL").groupBy("doc_id", "scope", "parent", "n").agg(F.count("*").alias("times"))
-    after = F.lead("n").over(Window.partitionBy("doc_id", "scope", "parent").orderBy("n"))
-    told = seen.withColumn("next", after)
-    gap = told.where("next > n + 1").select("doc_id", "scope", "parent", F.lit("missing").alias("kind"), (F.col("n") + 1).alias("lo"), (F.col("next") - 1).alias("hi"))
-    return gap.unionByName(told.where("times > 1").select("doc_id", "scope", "parent", F.lit("repeated").alias("kind"), F.col("n").alias("lo"), F.col("n").alias("hi")))
+    seen = own.select("doc_id", "scope", F.regexp_replace("item", r"\.?[0-9]+$", "").alias("parent"), n.alias("n")).where("n IS NOT NULL")
+    # equal numbers stand side by side: the first of them tells the repeat, the last one the gap
+    w = Window.partitionBy("doc_id", "scope", "parent").orderBy("n")
+    told = seen.select("*", F.lag("n").over(w).alias("last"), F.lead("n").over(w).alias("next"))
+    kind = F.when(F.col("next") > F.col("n") + 1, "missing").when((F.col("next") == F.col("n")) & ~F.col("last").eqNullSafe(F.col("n")), "repeated")
+    gap = F.col("kind") == "missing"
+    return told.withColumn("kind", kind).where("kind IS NOT NULL").select("doc_id", "scope", "parent", "kind", F.when(gap, F.col("n") + 1).otherwise(F.col("n")).alias("lo"), F.when(gap, F.col("next") - 1).otherwise(F.col("n")).alias("hi"))
 
 
 def a18_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps and repeats of numbers like line.part of every order, with annexes."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    li = by_key(lines, lines.count(), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
     k = F.col("p")
     item = F.when(k % 9 == 0, None).when(k % 4 == 0, F.col("l_linenumber").cast("string")).otherwise(F.concat((F.col("l_linenumber") / 4).cast("int"), F.lit("."), k % 12, F.when(k % 2 == 0, ".").otherwise("")))
     return siblings(li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("position"), item.alias("item"), (k % 9 == 0).alias("annex")))

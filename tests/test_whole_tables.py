@@ -5,6 +5,7 @@ import re
 import duckdb
 import pytest
 
+from tessellate.operators import places
 from tessellate.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +46,19 @@ def test_all_orders(spark, far_keys, name):
     assert sorted(map(repr, map(tuple, df.select(*names).collect()))) == sorted(map(repr, found.fetchall()))
 
 
+@pytest.mark.parametrize("name", ["a18_siblings"])
+def test_rows_of_a_task_do_not_grow(spark, far_keys, name, monkeypatch):
+    """Orders are dealt to as many tasks as their rows fill, in one shuffle."""
+    folder, con = far_keys
+    monkeypatch.setattr(places, "ROWS_A_TASK", 500)
+    df = registry.QUERIES[name](spark, folder)
+    n = con.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+    assert df.rdd.getNumPartitions() == -(-n // 500)
+    found = con.execute(registry.SQL[name])
+    names = [d[0] for d in found.description]
+    assert sorted(map(repr, map(tuple, df.select(*names).collect()))) == sorted(map(repr, found.fetchall()))
+
+
 def test_verdicts_of_all_lines(spark, far_keys):
     folder, con = far_keys
     df = registry.QUERIES["p3_verdicts"](spark, folder)
