@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.places import by_key
 from ..operators.scan import ordered_scan
 from .search import table
 
@@ -44,10 +45,11 @@ def k12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j14_located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asked (order, line, part): by line and part, else the only line with the part, else the only line of that number."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    li = by_key(lines, lines.count(), "l_orderkey").distinct()
     asked = li.select("l_orderkey", F.when(F.col("l_partkey") % 3 == 0, F.col("l_linenumber") + 1).otherwise(F.col("l_linenumber")).alias("line"), F.when(F.col("l_partkey") % 4 == 0, -1).otherwise(F.col("l_partkey")).cast("long").alias("part")).distinct()
     stages = [(F.col("l_linenumber") == F.col("line")) & (F.col("l_partkey") == F.col("part")), F.col("l_partkey") == F.col("part"), F.col("l_linenumber") == F.col("line")]
-    j = asked.join(li, "l_orderkey")
+    j = asked.join(li.hint("merge"), "l_orderkey")
     found = j.groupBy("l_orderkey", "line", "part").agg(*[F.count_if(c).alias(f"n{k}") for k, c in enumerate(stages)], *[F.max(F.when(c, F.col("l_linenumber"))).alias(f"at{k}") for k, c in enumerate(stages)])
     place = F.coalesce(*[F.when(F.col(f"n{k}") == 1, F.col(f"at{k}")) for k in range(3)])
     return found.select("l_orderkey", "line", "part", place.alias("located"))

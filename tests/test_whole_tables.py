@@ -46,7 +46,7 @@ def test_all_orders(spark, far_keys, name):
     assert sorted(map(repr, map(tuple, df.select(*names).collect()))) == sorted(map(repr, found.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["a18_siblings", "dml5_replace"])
+@pytest.mark.parametrize("name", ["a18_siblings", "dml5_replace", "j14_located"])
 def test_rows_of_a_task_do_not_grow(spark, far_keys, name, monkeypatch):
     """Orders are dealt to as many tasks as their rows fill, in one shuffle."""
     folder, con = far_keys
