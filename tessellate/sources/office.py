@@ -128,8 +128,9 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
                         yield from pa.ipc.open_stream(spool)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{docx,xlsx}").load(path)
-    # a task reads many small files at once; their cells take longer, so that files are dealt out
-    dealt = files.select("path", "content").repartition(4 * spark.sparkContext.defaultParallelism)
+    # a task reads many small files at once, but their cells take longer: files are dealt out by name, since
+    # dealing in turn begins at like places and would put them in one task
+    dealt = files.select("path", "content").repartition(16 * spark.sparkContext.defaultParallelism, "path")
     return dealt.mapInArrow(run, "path string, part string, row int, col int, text string, error string")
 
 
