@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import arabic_digits
+from ..operators.places import by_key
 from .search import table
 
 #: Thai letters and marks; asks of fewer letters must be a whole word of a work type.
@@ -127,7 +128,8 @@ def located_rows(asks: DataFrame, rows: DataFrame) -> DataFrame:
 
 def j14_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that are asked for by number and item in every order's tables."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    li = by_key(lines, lines.count(), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"))
     side = (F.col("k") % 2).cast("int")
     place = F.row_number().over(Window.partitionBy("l_orderkey", side).orderBy("l_linenumber"))
     k, major = F.col("k"), (F.col("l_linenumber") / 3).cast("int")
