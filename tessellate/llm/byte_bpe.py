@@ -4,12 +4,12 @@ Higher-order functions fold the ranked merges over a word's byte array: a rank m
 literal arrays, gives each neighbouring pair the rank of its merged token, and every step of the fold merges
 the leftmost pair of the lowest rank. Decoding folds the tokens' binary pieces together again.
 
-First the distinct words (pre-token matches) of all texts are counted by the number of tasks that hold them.
-The most widespread ones, at most SHARED_WORDS words of at most SHARED_BYTES bytes, are folded once and
-broadcast. Then each task turns its texts into places in the shared list and in a list of its own other
-distinct words, which Spark folds as they come up, and the texts are put together from their words' ids and
-pieces. No text is shuffled, and a lost task is simply run again. A task's list starts anew when it reaches
-LIST_LIMIT, so memory is bounded; results never depend on either list.
+Each task turns its texts into places in a list of its own distinct words (pre-token matches), which Spark
+folds as they come up, and the texts are put together from their words' ids and pieces. No text is shuffled,
+and a lost task is simply run again. A task's list starts anew when it reaches LIST_LIMIT, so memory is bounded.
+On request the distinct words of all texts are counted first, and those that most tasks hold, at most
+SHARED_WORDS words of at most SHARED_BYTES bytes, are folded once and broadcast; the query leaves that out,
+since it costs more than it saves. Results never depend on either list.
 
 A word of more than LONG bytes takes the same merges by a heap in the worker, since a fold copies its arrays
 in every step. Defined results: null text is empty text (no ids); repeated rows are encoded one by
@@ -32,9 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, read_table
+from .common import Scratch, read_table
 
-RANKS, LIST_LIMIT, LONG = "byte_bpe_50k.tiktoken", 200_000, 4096
+RANKS, LIST_LIMIT, LONG = "byte_bpe_50k.tiktoken", 400_000, 4096
 SHARED_WORDS, SHARED_BYTES, HASH_SEED = 400_000, 32, 42
 NONE = 65536
 #: a mark behind a word that is a word of its own (not an apostrophe)
@@ -59,93 +59,111 @@ def pair_ranks(path: str) -> dict[tuple[int, int], int]:
     return out
 
 
-SLOTS, SPREAD, SHIFT = 262_139, 65_521, 1 << 17
+#: a cell of a fold: rank of the pair that begins here (from UP), place (from AT), token
+SLOTS, SHIFT, AT, UP, EDGE = 3 << 17, 1 << 17, 1 << 16, 1 << 29, 65535
 
 
 @lru_cache(4)
-def perfect_table(path: str) -> tuple[list[int], list[int]]:
-    """Pair ranks without collisions: a pair's slot is its key's remainder plus its group's displacement.
+def displaced_table(path: str) -> tuple[list[int], list[int]]:
+    """Pair ranks without collisions: a pair's slot is its left token's displacement plus its right token.
 
-    Slots hold key * SHIFT + rank, displacements are found group by group, the largest groups first."""
-    groups: dict[int, list[tuple[int, int]]] = {}
+    Slots hold left token * SHIFT + rank. Tokens are placed from the one with most pairs on, each where its slots are free."""
+    rows: dict[int, list[tuple[int, int]]] = {}
     for (a, b), rank in pair_ranks(path).items():
-        key = a * 65536 + b
-        groups.setdefault(key % SPREAD, []).append((key, rank))
-    slots, moves = [-SHIFT] * SLOTS, [0] * SPREAD
-    for g, members in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
-        homes = [key % SLOTS for key, _ in members]
-        if len(set(homes)) < len(homes):
-            raise ValueError("two pairs of a group have one home slot")
-        move = 0
-        while any(slots[(h + move) % SLOTS] >= 0 for h in homes):
-            move = (move * 5 + 40_503) % SLOTS
-        moves[g] = move
-        for h, (key, rank) in zip(homes, members):
-            slots[(h + move) % SLOTS] = key * SHIFT + rank
-    return slots, moves
+        rows.setdefault(a, []).append((b, rank))
+    taken, slots, moves, dice = np.zeros(SLOTS, bool), np.full(SLOTS + EDGE + 1, -SHIFT, np.int64), np.zeros(EDGE + 1, np.int64), np.random.default_rng(1)
+    for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        right, ranks = np.array(row, np.int64).T
+        span = SLOTS - int(right.max())
+        for turn in range(2000):
+            first = int(dice.integers(0, span))
+            free = ~taken[first + right[:, None] + np.arange(min(256, span - first))].any(axis=0)
+            if free.any():
+                break
+        else:
+            raise ValueError("the table of pairs is too full")
+        moves[a] = first + int(free.argmax())
+        taken[moves[a] + right] = True
+        slots[moves[a] + right] = a * SHIFT + ranks
+    return slots.tolist(), moves.tolist()
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate value once and use it many times inside body: the end of a fold over nothing, which copies no arrays."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
+
+
+def big(n: int) -> Column:
+    return F.lit(n).cast("bigint")
 
 
 class Tables:
     """The rank map as literal columns: folded once by the optimizer, then constants of the plan."""
 
     def __init__(self, path: str):
-        ranks = load_ranks(path)
+        ranks, pairs = load_ranks(path), pair_ranks(path)
         numbers = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-        slots, moves = perfect_table(path)
+        slots, moves = displaced_table(path)
         self.slots, self.moves = numbers(slots, "bigint"), numbers(moves, "int")
-        self.single = numbers([ranks[bytes([b])] for b in range(256)], "int")
+        single = [ranks[bytes([b])] for b in range(256)]
+        # a byte's cell by itself and the byte behind it, and a last byte's cell
+        self.first = numbers([pairs.get((a, b), NONE) * UP + a for a in single for b in single], "bigint")
+        self.last = numbers([NONE * UP + a for a in single], "bigint")
         pieces = sorted((v, k) for k, v in ranks.items())
-        if [v for v, _ in pieces] != list(range(len(pieces))) or len(pieces) > 65536:
-            raise ValueError("ranks must run from 0 without a gap, below 65536")
+        if [v for v, _ in pieces] != list(range(len(pieces))) or len(pieces) > EDGE:
+            raise ValueError(f"ranks must run from 0 without a gap, below {EDGE}")
         self.pieces = F.from_json(F.lit("[" + ",".join(f'"{base64.b64encode(k).decode()}"' for _, k in pieces) + "]"), "array<binary>")
 
     def bound(self, body: Callable[[Tables], Column]) -> Column:
         """body with the tables bound to variables, so that the plan holds each only once."""
 
-        def at(slots: Column, moves: Column) -> Column:
+        def at(slots: Column, moves: Column, first: Column) -> Column:
             inner = copy(self)
-            inner.slots, inner.moves = slots, moves
+            inner.slots, inner.moves, inner.first = slots, moves, first
             return body(inner)
 
-        return let(self.slots, lambda slots: let(self.moves, lambda moves: at(slots, moves)))
+        return bind(self.slots, lambda slots: bind(self.moves, lambda moves: bind(self.first, lambda first: at(slots, moves, first))))
 
-    def rank(self, a: Column, b: Column) -> Column:
-        """The rank of a pair's merged token, or a number over 65535 if they have none."""
+    def ranked(self, a: Column, b: Column) -> Column:
+        """A cell's part for the rank of a pair's merged token; a slot of another left token makes it NONE * UP or more."""
+        return big(UP) * F.abs(F.get(self.slots, F.get(self.moves, a) + b) - big(SHIFT) * a)
 
-        def of(key: Column) -> Column:
-            slot = (key % SLOTS + F.get(self.moves, (key % SPREAD).cast("int"))) % SLOTS
-            # a slot of another key is at least SHIFT - 65535 away
-            return F.abs(F.get(self.slots, slot.cast("int")) - key * SHIFT)
 
-        # both tokens are expressions of their own, so the key is evaluated once
-        return let(a.cast("bigint") * 65536 + b, of)
+def fold_merges(word: Column, t: Tables) -> Column:
+    """array<smallint> of a word's bytes (at most LONG) to array<int> of its tokens.
 
+    The fold's state is one array of cells between two edges, which join nothing; its least cell is the leftmost
+    pair of the lowest rank and says where it stands. Literals come first in sums and products, since Spark asks
+    the left operand for its type at every evaluation; array_position would throw an exception to end its search."""
 
-def fold_merges(word: Column, t: Tables) -> Column:
-    """array<smallint> of a word's bytes to array<int> of its tokens."""
+    def token(cell: Column) -> Column:
+        return cell.bitwiseAND(F.lit(AT - 1)).cast("int")
+
+    def place(cell: Column) -> Column:
+        return F.shiftright(cell.bitwiseAND(F.lit(UP - 1)), 16).cast("int")
 
     def merge(s: Column) -> Column:
-        ids, ranks = s["ids"], s["ranks"]
-
-        def joined(m: Column, p: Column) -> Column:
-            none = F.array().cast("array<bigint>")
-            left = F.when(p > 1, F.array(t.rank(F.get(ids, p - 2), m))).otherwise(none)
-            right = F.when(p < F.size(ranks), F.array(t.rank(m, F.get(ids, p + 1)))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), p - 1), F.array(m.cast("int")), F.slice(ids, p + 2, F.size(ids))).alias("ids"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, F.size(ids))).alias("ranks"),
+        def joined(least: Column, p: Column, m: Column) -> Column:
+            left = F.get(s, p - 1)
+            cells = F.array(
+                t.ranked(token(left), m) + left.bitwiseAND(F.lit(UP - 1)),
+                t.ranked(m, token(F.get(s, p + 2))) + (least.bitwiseAND(F.lit(UP - AT)) + m),
             )
+            return F.concat(F.slice(s, F.lit(1), p - 1), cells, F.transform(F.slice(s, p + 3, F.size(s)), lambda c: c - AT))
 
-        least = F.array_min(ranks)
-        merged = let(least, lambda m: let(F.array_position(ranks, m).cast("int"), lambda p: joined(m, p)))
-        return F.when(least.isNull() | (least >= NONE), s).otherwise(merged)
+        def step(least: Column) -> Column:
+            merged = bind(place(least), lambda p: bind(F.shiftright(least, 29).cast("int"), lambda m: joined(least, p, m)))
+            return F.when(least >= big(NONE * UP), s).otherwise(merged)
 
-    def begin(ids: Column) -> Column:
-        ranks = F.transform(F.slice(ids, 2, F.size(ids)), lambda b, i: t.rank(F.get(ids, i), b))
-        # the loop runs over the word's own bytes but one: at most one merge for each
-        return F.aggregate(F.slice(word, 2, F.size(word)), F.struct(ids.alias("ids"), ranks.alias("ranks")), lambda s, _: merge(s), lambda s: s["ids"])
+        return bind(F.array_min(s), step)
 
-    return let(F.transform(word, lambda b: F.get(t.single, b.cast("int"))), begin)
+    n, edge = F.size(word), NONE * UP + EDGE
+    inner = F.transform(F.slice(word, 2, n), lambda b, i: big(AT) * (i + 1) + F.get(t.first, F.lit(256) * F.get(word, i) + b))
+    last = big(AT) * n + F.get(t.last, F.element_at(word, -1).cast("int"))
+    cells = F.concat(F.array(big(edge)), inner, F.array(last, big(edge) + big(AT) * (n + 1)))
+    # the loop runs over the word's own bytes but one: at most one merge for each
+    folded = F.aggregate(F.slice(word, 2, n), cells, lambda s, _: merge(s), lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), token))
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(folded)
 
 
 def decode_pieces(ids: Column, t: Tables) -> Column:
@@ -342,7 +360,7 @@ class WordList:
 
 
 def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
-    """word and tasks: the distinct words of the texts, and how many lists of LIST_LIMIT chunks hold them."""
+    """word and tasks: the distinct words of the texts, and how many lists of chunks hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, chunks = Splitter(pattern), set()
@@ -358,7 +376,7 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
             for k in range(0, b.num_rows, 64):
                 for t in b.column(0).slice(k, 64).to_pylist():
                     chunks.update(chunks_of(t or "")[1:])
-                if len(chunks) > 3 * LIST_LIMIT:
+                if len(chunks) > LIST_LIMIT * 3 // 2:
                     yield from words()
         yield from words()
 
@@ -367,6 +385,9 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
 
 def shared_words(docs: DataFrame, t: Tables, pattern: str, most: int = SHARED_WORDS) -> SharedWords:
     """The words that most tasks hold, folded once: as many whole steps (quarters of a power of two) of task counts as `most` allows."""
+    if not most:
+        none = {"word": pa.string(), "hash": pa.int64(), "ids": pa.list_(pa.int32()), "piece": pa.binary()}
+        return SharedWords(pa.schema(none.items()).empty_table())
     scratch = Scratch(docs.sparkSession, "words")
     words = scratch.write(distinct_words(docs, pattern).where("tasks > 1").select("word", "tasks", F.floor(4 * F.log2("tasks")).cast("int").alias("power")), "words")
     least, total = 256, 0
@@ -388,7 +409,7 @@ def _bytes(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.ascii(F.substr(text, i, F.lit(1))).cast("smallint"))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, most_shared: int = SHARED_WORDS) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, most_shared: int = 0) -> DataFrame:
     """docs (doc_id, text) to doc_id, ids (little-endian uint32) and decoded (the bytes of the decoded ids)."""
     t = Tables(ranks_path)
     shared = docs.sparkSession.sparkContext.broadcast(shared_words(docs, t, pattern, most_shared))
@@ -398,7 +419,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, most_shared: int = SH
         schema = pa.schema([("renew", pa.bool_()), ("words", pa.list_(pa.list_(pa.int16()))), ("long", pa.list_(pa.binary())), ("doc_id", pa.int64()), ("places", pa.binary())])
         for b in batches:
             for k in range(0, b.num_rows, 64):
-                if words.own > LIST_LIMIT or len(words.number) > 3 * LIST_LIMIT:
+                if words.own > LIST_LIMIT or len(words.number) > LIST_LIMIT * 3 // 2:
                     words.start()
                     renewed = True
                 part = b.slice(k, 64)

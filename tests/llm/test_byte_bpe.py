@@ -3,6 +3,7 @@ import random
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 from tessellate.llm import byte_bpe
 
@@ -43,3 +44,23 @@ def test_heap_merges_of_long_words():
     for _ in range(30):
         word = "".join(rng.choice("theraning") for _ in range(rng.randint(2, 900)))
         assert byte_bpe.merge_long(word.encode(), PATH) == enc._encode_single_piece(word)
+
+
+def test_folds_search_and_copy_little(spark):
+    """array_position ends its search by an exception, and a pair of arrays a merge was copied twice."""
+    words = [b"", b"a", b"ab", " größer".encode(), b"aaaa", b"theraning" * 9, bytes(range(255, 0, -1)), b"ab" * 2048]
+    tables, enc = byte_bpe.Tables(PATH), library()
+    docs = spark.createDataFrame([(i, list(w)) for i, w in enumerate(words)], "i int, w array<smallint>")
+    folded = docs.select("i", tables.bound(lambda t: byte_bpe.fold_merges(F.col("w"), t)).alias("ids"))
+    assert [r.ids for r in folded.orderBy("i").collect()] == [enc._encode_single_piece(w) if w else [] for w in words]
+    assert "array_position" not in str(byte_bpe.fold_merges(F.col("w"), tables))
+
+
+def test_the_query_counts_no_words_beforehand(spark, tmp_path):
+    spark.createDataFrame([(i, f"a common word and w{i}") for i in range(40)], "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = byte_bpe.op3_byte_bpe(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 2
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    byte_bpe.op3_byte_bpe(spark, str(tmp_path))
+    started = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before)
+    assert len(started) <= 1  # the schema of the files, and no count
