@@ -9,7 +9,7 @@ folds as they come up, and the texts are put together from their words' ids and
 and a lost task is simply run again. A task's list starts anew when it reaches LIST_LIMIT, so memory is bounded.
 On request the distinct words of all texts are counted first, and those that most tasks hold, at most
 SHARED_WORDS words of at most SHARED_BYTES bytes, are folded once and broadcast; the query leaves that out,
-since it costs more than it saves. Results never depend on either list.
+so that texts are split once. Results never depend on either list.
 
 A word of more than LONG bytes takes the same merges by a heap in the worker, since a fold copies its arrays
 in every step. Defined results: null text is empty text (no ids); repeated rows are encoded one by
